@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _ASCII_SPACE = np.zeros(256, bool)
@@ -115,11 +115,11 @@ class WordTable:
 
     `encode` gives the ids for a list of words. The table is emptied once it
     holds `capacity` words, so its memory is bounded whatever the vocabulary.
-    Words are told apart by 64-bit hash (a clash among two million words has a
-    chance of about 1e-7).
+    Words are told apart by 64-bit hash (a clash among a million words has a
+    chance of about 3e-8).
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], capacity: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], capacity: int = 1_000_000):
         self.encode, self.capacity = encode, capacity
         self.mask = (1 << max(10, (2 * capacity - 1).bit_length())) - 1
         self.clear()

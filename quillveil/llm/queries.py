@@ -17,21 +17,47 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.quality import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.warc import warc_round_trip
+
+    return warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.llm.token_counts import count_tokens
 
     return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.embedding_dedup import link_vectors
+
+    return link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.llm.token_files import token_files
 
     return token_files(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts, "op10_token_files": op10_token_files}
+    return {"op2_quality_rules": op2_quality_rules, "op4_warc": op4_warc, "op5_token_counts": op5_token_counts, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillveil.llm import warc
+
+    return {"op4_warc": warc.ORACLE_SQL}
