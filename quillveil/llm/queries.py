@@ -23,6 +23,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.llm.warc import warc_round_trip
 
@@ -54,7 +60,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op4_warc": op4_warc, "op5_token_counts": op5_token_counts, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op10_token_files": op10_token_files}
+    return {"op2_quality_rules": op2_quality_rules, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_token_counts": op5_token_counts, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
