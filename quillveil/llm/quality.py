@@ -160,6 +160,7 @@ def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     return judge(docs.select("doc_id", "text"), rules).select("doc_id", *[F.col("_quality")[n].alias(n) for n in names])
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judge(docs, rules, out="_quality").filter("_quality.kept").drop("_quality")
+    verdict = compile_rules(rules)
+    return docs.filter(_let(measures(F.col(text_col)), lambda m: ~base_failed(m) & verdict(m)))

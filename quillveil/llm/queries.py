@@ -17,6 +17,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.license_scan import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.llm.quality import score_documents
 
@@ -47,20 +53,38 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.piece_sampling import sample_pieces
+
+    return sample_pieces(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.llm.token_files import token_files
 
     return token_files(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillveil.llm.ngram_join import link_documents
+
+    return link_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.llm.packing import pack_documents
 
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_token_counts": op5_token_counts, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op10_token_files": op10_token_files}
+    return {"pipeline": pipeline, "op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_token_counts": op5_token_counts, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_piece_sampling": op9_piece_sampling, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
