@@ -31,10 +31,24 @@ def document_pages(docs: DataFrame, page: str | None = None) -> DataFrame:
     return docs.select("doc_id", (F.col(page) if page else F.lit(0)).cast("int").alias("page"), "text")
 
 
+def _empty_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """Files without a byte, from the listing: a scan skips them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path if glob is None else f"{path}/{glob}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for top in fs.globStatus(root) or []:
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            if f.isFile() and f.getLen() == 0:
+                found.append((f.getPath().toString(), f.getModificationTime()))
+    rows = spark.createDataFrame(found, "path string, _ms bigint")
+    return rows.select("path", F.timestamp_millis("_ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Binary files with `read_error`: empty, not_a_pdf, encrypted (which needs a PDF library to open), or null."""
     reader = spark.read.format("binaryFile")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).unionByName(_empty_files(spark, path, glob))
     head = F.decode(F.substring("content", 1, 5), "ISO-8859-1")
     tail = F.decode(F.substring("content", -2048, 2048), "ISO-8859-1")
     error = F.when(F.length("content") == 0, "empty").when(head != _PDF, "not_a_pdf").when(F.contains(tail, F.lit("/Encrypt")), "encrypted")

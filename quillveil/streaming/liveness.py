@@ -42,6 +42,9 @@ def watch(beats: DataFrame, silence: int = SILENCE, first_beat: int = FIRST_BEAT
             fire = None if closing else ("silence" if beats_ else "no_beat")
             closing = True
         for pdf in rows:
+            pdf = pdf[pdf["ts"].notna()]
+            if pdf.empty:
+                continue
             beats_ += int((pdf["kind"] == "beat").sum())
             last = max(last, int(pdf["ts"].max().timestamp() * 1000))
             if (pdf["kind"] == "close").any() and not closing:
