@@ -7,6 +7,8 @@ or the longest text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,13 +67,22 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one prefix sum of a polynomial."""
-    up, down = power_tables(len(data) + 1)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over the bytes, from which hashes of spans follow."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomials of byte spans, wherever they lie."""
+    sums = prefix_sums(data)
+    return (sums[ends] - sums[starts]) * power_tables(len(data) + 1)[1][starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return mix(span_keys(data, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def ascii_words(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = _ASCII_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,3 +196,58 @@ class WordTable:
         total = int(lens.sum())
         shift = self.start[at] - (np.cumsum(lens) - lens)
         return self.ids[np.repeat(shift, lens) + np.arange(total)], lens
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; workers are reused, and executors' memory is shared with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
+def tidy(run: Callable, keeps_encoders: bool = False) -> Callable:
+    """The same function over batches, which releases memory when its task ends.
+
+    A worker serves stage after stage; one that needs no tokenizer first drops
+    those that an earlier stage left.
+    """
+
+    def wrapped(batches):
+        if not keeps_encoders and (held := sys.modules.get("quillveil.llm.tokenizing")):
+            held._cached.clear()
+            release_memory()
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def bounded_batches(spark, most: int = 8 << 20) -> None:
+    """Let Spark send at most so many bytes in an Arrow batch (a longer row alone), however long the texts; never raises the setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str, block: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `block` bytes of text, gathered from small batches or cut from large ones."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        off = buffers(b.column(b.schema.get_field_index(column)))[1]
+        for lo, hi in row_blocks(off, block):
+            held.append(b.slice(lo, hi - lo))
+            size += int(off[hi] - off[lo])
+            if size >= block:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()

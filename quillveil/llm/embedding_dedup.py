@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillveil.llm.bytesops import bounded_batches
 from quillveil.llm.components import connected_components
 from quillveil.session import materialize
 
@@ -125,6 +126,7 @@ def _roots(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per vector of (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+    bounded_batches(vectors.sparkSession)
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
     label_type = dict(vectors.dtypes)["label"]
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label").mapInArrow(_classes, f"vec_id bigint, label {label_type}, key binary, vec binary")

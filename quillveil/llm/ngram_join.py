@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import ascii_words, buffers, mix, row_blocks, span_hashes
+from quillveil.llm.bytesops import ascii_words, bounded_batches, buffers, mix, row_blocks, span_hashes, text_blocks, tidy
 from quillveil.llm.components import connected_components
 from quillveil.session import materialize
 
@@ -45,9 +45,10 @@ THRESHOLD = Fraction(4, 5)
 RECALL = 0.9995
 MOST_HASHES = 128
 CHUNK_DOCS = 1024
-CHUNK_NGRAMS = 2_000_000
-SHARED_DOCS = 256
+CHUNK_NGRAMS = 500_000
+SHARED_DOCS = 96
 _FREQUENT = 24
+_BUNDLE_BYTES = 8 << 20
 _BREAKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _SEED = 0x1B873593CC9E2D51
 
@@ -73,7 +74,7 @@ def ngrams(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.nd
     n = len(h)
     count = np.diff(first)
     grams = np.zeros(n, np.uint64)
-    for j in range(words):
+    for j in range(min(words, n)):
         grams[: n - j] += h[j:] * np.uint64(pow(_SEED | 1, j + 1, 1 << 64))
     whole = np.maximum(count - words + 1, np.minimum(count, 1))
     starts = np.cumsum(whole) - whole
@@ -125,7 +126,7 @@ def _signatures(id_type: str, bands: int, rows: int, words: int):
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compressed bundles of texts, one for each chunk in a batch, sent to every block of the chunk."""
-    for b in batches:
+    for b in text_blocks(batches, "text", _BUNDLE_BYTES):
         doc, copies, group, chunk, chunks = (b.column(i).to_numpy() for i in range(5))
         data, off = buffers(b.column(5))
         keys, firsts, seconds, sides, values = [], [], [], [], []
@@ -186,8 +187,8 @@ def common_counts(n: int, row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     flat = counts.reshape(-1)
     for d in range(2, _FREQUENT + 1):
         these = first[size == d]
-        for lo in range(0, len(these), max(1, 4_000_000 // (d * d))):
-            p = row[these[lo : lo + max(1, 4_000_000 // (d * d)), None] + np.arange(d)]
+        for lo in range(0, len(these), max(1, 1_000_000 // (d * d))):
+            p = row[these[lo : lo + max(1, 1_000_000 // (d * d)), None] + np.arange(d)]
             cell, add = np.unique((p[:, :, None] * n + p[:, None, :]).ravel(), return_counts=True)
             flat[cell] += add
     return counts
@@ -249,10 +250,11 @@ def _verify(threshold: Fraction, words: int):
 
 def link_documents(docs: DataFrame, threshold: Fraction = THRESHOLD, recall: float = RECALL, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id, n_links (documents linked directly), component_id, kept (smallest id of its component)."""
+    bounded_batches(docs.sparkSession)
     bands, rows = choose_bands(float(threshold), recall)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     sign, schema = _signatures("bigint", bands, rows, words)
-    signed = materialize(source.mapInArrow(sign, schema), "jaccard-signed")
+    signed = materialize(source.mapInArrow(tidy(sign), schema), "jaccard-signed")
     classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "jaccard-classes")
 
@@ -279,8 +281,8 @@ def link_documents(docs: DataFrame, threshold: Fraction = THRESHOLD, recall: flo
     texts = placed.join(source, "doc").select("doc", "copies", "group", "chunk", "chunks", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ("group", "a", "b")
-    bundles = texts.mapInArrow(_bundle, "group bigint, a int, b int, side int, data binary").repartition(parts, *keys).sortWithinPartitions(*keys)
-    found = materialize(bundles.mapInArrow(_verify(threshold, words), "doc bigint, links bigint, root bigint"), "jaccard-links")
+    bundles = texts.mapInArrow(tidy(_bundle), "group bigint, a int, b int, side int, data binary").repartition(parts, *keys).sortWithinPartitions(*keys)
+    found = materialize(bundles.mapInArrow(tidy(_verify(threshold, words)), "doc bigint, links bigint, root bigint"), "jaccard-links")
 
     components = connected_components(found, "doc", "root").select(F.col("node").alias("rep"), "component")
     counts = found.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))

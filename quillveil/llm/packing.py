@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import buffers
+from quillveil.llm.bytesops import bounded_batches, buffers, tidy
 from quillveil.llm.tokenizing import WordBpe, cached
 from quillveil.session import materialize
 
@@ -158,6 +158,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, t
     id_type = dict(docs.dtypes)[id_col]
     if sorted(tiers) != list(tiers) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are ascending powers of two")
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     kinds = f"_doc {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint, _ids binary"
 
@@ -181,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, t
             rest = [(doc, start, len(ids), 0, n, task, 0, 0, 0, ids.tobytes()) for doc, start, ids, n in packer.left()]
             yield _batch(packer.rows + rest, schema)
 
-    done = materialize(source.mapInArrow(run, kinds), "packed")
+    done = materialize(source.mapInArrow(tidy(run, True), kinds), "packed")
     # Sequence ids of gathered rests lie in a range of their own, beyond any task's.
     second = 1 << 62
 

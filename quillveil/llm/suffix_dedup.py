@@ -46,16 +46,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import buffers, mix, row_blocks
+from quillveil.llm.bytesops import bounded_batches, buffers, mix, release_memory, row_blocks, text_blocks, tidy
 from quillveil.session import materialize
 
 LENGTH = 100
 GRAM = 24
 PERIOD = 16
 HOT = 64
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 2 << 20
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
+_BLOCK = 16 << 20
 _SPREAD = LENGTH - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NO_ID = -(1 << 63)
@@ -253,10 +254,8 @@ def _scan(n_buckets: int):
         yield _emit(*zip(*rows, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            off = buffers(b.column(b.schema.get_field_index("_sd_x")))[1]
-            for lo, hi in row_blocks(off, 8 * _CHUNK):
-                yield from settle(b.slice(lo, hi - lo))
+        for b in text_blocks(batches, "_sd_x", _BLOCK):
+            yield from settle(b)
 
     return run
 
@@ -365,6 +364,7 @@ def _fetch(n_buckets: int):
                     for k, j in _by((one[stay] % np.uint64(n_buckets)).astype(np.int64)):
                         j = np.sort(stay[j])
                         rows.append((k, ANCHORS, 0, _pack(docs, d[j], s[j].astype("<u4"), ones[j], ones[j], one[j], two[j]), b""))
+        release_memory()
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         data = [x if not y else len(x).to_bytes(8, "little") + x + zstandard.ZstdCompressor(level=1).compress(y) for x, y in zip(columns[3], columns[4], strict=True)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(data, pa.binary())], names=["bucket", "kind", "group", "data"])
@@ -575,11 +575,12 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tu
     group = F.pmod(F.xxhash64(key, F.xxhash64(text)), F.lit(n_groups))
     named = docs.select(*keep, F.col(id_col).cast("long").alias("_sd_id"), key.alias("_sd_k"), F.xxhash64(text).alias("_sd_t"), group.alias("_sd_g"), text.alias("_sd_x"), F.col(text_col).isNull().alias("_sd_n"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = named.select("_sd_k", "_sd_t", "_sd_g", "_sd_x").mapInArrow(_scan(n_buckets), _ROWS)
-    merged = materialize(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_buckets, _ROWS), "suffix-merged")
+    bounded_batches(docs.sparkSession)
+    found = named.select("_sd_k", "_sd_t", "_sd_g", "_sd_x").mapInArrow(tidy(_scan(n_buckets)), _ROWS)
+    merged = materialize(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_merge_buckets), _ROWS), "suffix-merged")
     asked = merged.filter(F.col("kind") != COVERED).select("group", "kind", "data")
     bytes_of = named.groupBy("_sd_g").cogroup(asked.groupBy("group")).applyInArrow(_fetch(n_buckets), _ROWS)
-    ordered = bytes_of.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, _ROWS)
+    ordered = bytes_of.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_sort_buckets), _ROWS)
     return named, merged.filter(F.col("kind") == COVERED).unionByName(ordered).select("group", "kind", "data")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import buffers
+from quillveil.llm.bytesops import bounded_batches, buffers, tidy
 from quillveil.llm.tokenizing import PieceBpe, cached
 
 LIMIT = 4096
@@ -128,8 +128,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, id_col: s
             n = _per_row(pieces, data, off)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return source.mapInArrow(tidy(run, True), f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def prefix_tables(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

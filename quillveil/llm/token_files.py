@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import buffers
+from quillveil.llm.bytesops import bounded_batches, buffers, tidy
 from quillveil.llm.tokenizing import WordBpe, cached
 from quillveil.session import scratch_path
 
@@ -53,8 +53,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             if rows:
                 yield out(b.column(0), rows, held)
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return source.mapInArrow(tidy(run, True), f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, files: int | None = None, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20) -> None:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillveil.llm.bytesops import bounded_batches
 from quillveil.session import materialize, scratch_path
 
 MIN_BYTES = 0
@@ -145,6 +146,7 @@ def restore_payloads(spark: SparkSession, path: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write the pages into archives in the shared folder and read them back."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, "warc")
     write_archives(pages, path, min_bytes)
     return read_archives(spark, path)
