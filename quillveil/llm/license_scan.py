@@ -344,20 +344,19 @@ def scan_licenses(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_
     spark = docs.sparkSession
     named = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     model = train(spark, paragraphs_of(named, id_col, "text").select("text"))
-    key = [id_col, "at", "copy"]
-    # Rows that repeat an id are told apart by their text.
+    # A row is known by its id, which may be null, and its text; rows that repeat both have equal results.
+    doc, key = F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("copy")).alias("doc"), ["doc", "at"]
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    paragraphs = named.select(F.col(id_col), F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("at", "text"))
-    notices = scan_paragraphs(paragraphs, model, key, confirm)
-    notices = materialize(notices, "license-notices").dropDuplicates(key)
-    per_doc = notices.groupBy(id_col, "copy").agg(
+    paragraphs = named.select(doc, F.posexplode(lines).alias("at", "text"))
+    notices = materialize(scan_paragraphs(paragraphs, model, key, confirm), "license-notices").dropDuplicates(key)
+    per_doc = notices.groupBy("doc").agg(
         F.count("*").alias("n_notices"),
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
         F.max(F.when(F.col("confirmed"), F.struct("probability", "template_similarity", "family"))).alias("best"),
         F.array_sort(F.collect_list(F.struct("at", "family", F.round("probability", 6).alias("probability"), F.round("template_similarity", 6).alias("template_similarity"), "confirmed"))).alias("notices"),
     )
-    full = named.select(F.col(id_col), F.xxhash64("text").alias("copy"), F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).cast("long").alias("n_paragraphs"))
-    found = full.withColumn("_k", F.col(id_col)).join(per_doc.withColumnsRenamed({id_col: "_id", "copy": "_copy"}), (F.col("_k").eqNullSafe(F.col("_id"))) & (F.col("copy") == F.col("_copy")), "left")
+    full = named.select(F.col(id_col), doc, F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).cast("long").alias("n_paragraphs"))
+    found = full.join(per_doc, "doc", "left")
     return found.select(
         id_col,
         "n_paragraphs",
