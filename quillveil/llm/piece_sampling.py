@@ -9,8 +9,9 @@ the sum before it times its own weight. That is an exact draw from all
 segmentations.
 
 No piece crosses the start of a run of blanks or a line feed, so the lattice
-falls apart into segments there. A worker filters each distinct segment once
-and samples all segments of a block together. The random number at a node is a
+falls apart into segments there. In each block of text, each distinct segment
+is filtered once, all of them together, depth by depth; then all segments are
+sampled together, piece by piece. The random number at a node is a
 hash of the seed, the row's key, and the node's place in the row, so a row
 gets the same segmentation wherever, and however often, it is worked on.
 
@@ -33,20 +34,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import WordTable, buffers, mix
-from quillveil.llm.tokenizing import PieceBpe, cached
+from quillveil.llm.bytesops import bounded_batches, buffers, mix, power_tables, prefix_sums, span_hashes, span_keys, tidy
+from quillveil.llm.tokenizing import PieceBpe, cached, text_parts
 
 SEED = 20240229
 ALPHA = 0.5
 _OUT_IDS = 1 << 20
-_LINEAR = 64
+_SHORT = 64
+_SPREAD = 0x9FB21C651E98DF25 & (2**44 - 1) | 1
 _OWN_MARK = ""
 
 
-class Lattice(WordTable):
-    """Filtered lattices of segments: for each node its edges, most likely first, with cumulative probabilities."""
+class Lattice:
+    """The vocabulary as weights, and lattices of the distinct segments of a block.
 
-    def __init__(self, path: str, alpha: float = ALPHA, capacity: int = 600_000):
+    Nodes are byte positions, numbered by depth first, so those of one depth
+    are neighbours; edges of a node lie together, longest first. A lattice
+    lives as long as its block, so memory does not grow with the vocabulary of
+    the corpus.
+    """
+
+    def __init__(self, path: str, alpha: float = ALPHA):
         self.pieces = cached(PieceBpe, path)
         sp = self.pieces.sp
         size = sp.get_piece_size()
@@ -59,94 +67,166 @@ class Lattice(WordTable):
         self.piece_size = np.array([len(x) for x in text], np.int64)
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
         self.piece_bytes = np.frombuffer(b"".join(text), np.uint8)
-        super().__init__(self._filter, capacity)
-
-    def clear(self) -> None:
-        super().clear()
-        self.nodes = self.edges = 0
-        self.first, self.count = np.zeros(4096, np.int64), np.zeros(4096, np.int32)
-        self.back, self.width, self.piece, self.sum = np.zeros(8192, np.int32), np.zeros(8192, np.int32), np.zeros(8192, np.int32), np.zeros(8192)
-
-    def _grow(self, names: tuple[str, ...], size: int) -> None:
-        for n in names:
-            x = getattr(self, n)
-            if size > len(x):
-                setattr(self, n, np.resize(x, max(size, 2 * len(x))))
-
-    def _filter(self, segments: list[str]) -> list[list[int]]:
-        """Forward filtering of new segments; gives the last node of each."""
-        first, count, back, width, piece, total, ends = [], [], [], [], [], [], []
-        weight, longest, edges = self.weight, self.longest, self.edges
-        for seg in segments:
-            s = seg.replace(PieceBpe.BLANK, _OWN_MARK).replace(" ", PieceBpe.BLANK)
-            n = len(s)
-            at = range(n + 1) if len(seg.encode()) == n else [0, *np.cumsum([len(c.encode()) for c in seg]).tolist()]
-            forward = [1.0]
-            first.append(edges)
-            count.append(0)
-            for j in range(1, n + 1):
-                found = []
-                for i in range(max(0, j - longest), j):
-                    w = weight.get(s[i:j])
-                    if w is not None:
-                        found.append((forward[i] * w[0], j - i, at[j] - at[i], w[1]))
-                if s[j - 1] not in weight:
-                    found.append((forward[j - 1] * self.rare ** (at[j] - at[j - 1]), 1, at[j] - at[j - 1], -1))
-                found.sort(reverse=True)
-                z = math.fsum(x[0] for x in found)
-                forward.append(z)
-                first.append(edges)
-                count.append(len(found))
-                run = 0.0
-                for w, b, k, p in found:
-                    run += w / z
-                    back.append(b)
-                    width.append(k)
-                    piece.append(p)
-                    total.append(run)
-                edges += len(found)
-                total[-1] = 2.0
-                if n > _LINEAR and z < 1e-200:
-                    # Only ratios count: lift the sums that later nodes can still see.
-                    lift = max(forward[max(0, j - longest) :])
-                    forward[max(0, j - longest) :] = [f / lift for f in forward[max(0, j - longest) :]]
-            ends.append([self.nodes + len(first) - 1])
-        self._grow(("first", "count"), self.nodes + len(first))
-        self._grow(("back", "width", "piece", "sum"), edges)
-        self.first[self.nodes : self.nodes + len(first)] = first
-        self.count[self.nodes : self.nodes + len(first)] = count
-        for name, values in (("back", back), ("width", width), ("piece", piece), ("sum", total)):
-            getattr(self, name)[self.edges : edges] = values
-        self.nodes, self.edges = self.nodes + len(first), edges
-        return ends
-
-    def sample(self, data: np.ndarray, ends: np.ndarray, entries: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        keys = span_keys(self.piece_bytes, self.piece_at[normal], self.piece_at[normal] + self.piece_size[normal])
+        self.sizes = sorted({int(n) for n in self.piece_size[normal]}, reverse=True)
+        self.mask = (1 << (4 * len(normal) - 1).bit_length()) - 1
+        self.slots, self.slot_ids = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        for k, i in zip(keys.tolist(), normal, strict=True):
+            at = (k * _SPREAD >> 20) & self.mask
+            while self.slot_ids[at] >= 0:
+                at = (at + 1) & self.mask
+            self.slots[at], self.slot_ids[at] = k, i
+        self.by_id = np.zeros(size)
+        self.by_id[normal] = [(r + 1.0) ** -alpha for r in range(len(normal))]
+
+    def _lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Piece of each key, -1 if it is none."""
+        at = ((keys * np.uint64(_SPREAD)) >> np.uint64(20)).astype(np.int64) & self.mask
+        out = self.slot_ids[at]
+        rest = np.flatnonzero((out >= 0) & (self.slots[at] != keys))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            got = self.slot_ids[at[rest]]
+            out[rest] = got
+            rest = rest[(got >= 0) & (self.slots[at[rest]] != keys[rest])]
+        return out
+
+    def filter(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Forward filtering of segments: last node of each; of nodes, first edge and edge count; of edges, start node, width, piece, cumulative probability."""
+        size = ends - starts
+        long = np.flatnonzero(size > _SHORT)
+        short = np.flatnonzero(size <= _SHORT)
+        short = short[np.argsort(-size[short], kind="stable")]
+        s, n = starts[short], size[short]
+        deepest = int(n[0]) if len(n) else 0
+        # Nodes of depth d are those of the segments that reach it, which come first.
+        reach = np.searchsorted(-n, -np.arange(deepest + 1), "right")
+        base = np.concatenate(([0], np.cumsum(reach)))
+        nodes = int(base[-1])
+        depth = np.repeat(np.arange(deepest + 1), reach)
+        rank = np.arange(nodes) - base[depth]
+        place = s[rank] + depth
+        sums = prefix_sums(data)
+        down = power_tables(len(data) + 1)[1]
+        found = []
+        single = np.zeros(nodes, bool)
+        lead = np.append((data & 0xC0) != 0x80, True)
+        for width in self.sizes:
+            if width > deepest:
+                continue
+            at = np.arange(int(base[width]), nodes)
+            end = place[at]
+            begin = end - width
+            piece = self._lookup((sums[end] - sums[begin]) * down[begin])
+            hit = np.flatnonzero(piece >= 0)
+            found.append((at[hit], width, piece[hit]))
+            if width <= 4:
+                single[at[hit]] |= _one_character(lead, begin[hit], width)
+        for width in range(min(4, deepest), 0, -1):
+            at = np.arange(int(base[width]), nodes)
+            at = at[~single[at]]
+            begin = place[at] - width
+            raw = at[lead[place[at]] & lead[begin] & _one_character(lead, begin, width)]
+            found.append((raw, width, np.full(len(raw), -1, np.int32)))
+        found.sort(key=lambda x: -x[1])
+        count = np.zeros(nodes, np.int32)
+        for at, _, _ in found:
+            count[at] += 1
+        first = np.cumsum(count, dtype=np.int64) - count
+        total = int(count.sum())
+        back, width_, piece_, node_ = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int64)
+        filled = first.copy()
+        for at, width, piece in found:
+            slot = filled[at]
+            filled[at] += 1
+            back[slot] = base[depth[at] - width] + rank[at]
+            width_[slot], piece_[slot], node_[slot] = width, piece, at
+        weight = np.where(piece_ >= 0, self.by_id[piece_], self.rare**width_)
+        forward = np.zeros(nodes)
+        forward[: int(base[1]) if deepest or nodes else 0] = 1.0
+        for d in range(1, deepest + 1):
+            lo, hi = int(base[d]), int(base[d + 1])
+            x, y = int(first[lo]), int(first[hi]) if hi < nodes else total
+            forward[lo:hi] = np.bincount(node_[x:y] - lo, forward[back[x:y]] * weight[x:y], hi - lo)
+        share = forward[back] * weight / forward[node_] if total else np.zeros(0)
+        run = np.cumsum(share)
+        full = np.flatnonzero(count)
+        run = run - np.repeat(run[first[full]] - share[first[full]], count[full])
+        run[first[full] + count[full] - 1] = 2.0
+        last = np.zeros(len(starts), np.int64)
+        last[short] = base[n] + np.arange(len(short))
+        parts = [(first, count, back, width_, piece_, run)]
+        edges = total
+        for i in long.tolist():
+            made = self._filter_long(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+            made[0][:] += edges
+            made[2][:] += nodes
+            nodes, edges = nodes + len(made[0]), edges + len(made[2])
+            last[i] = nodes - 1
+            parts.append(made)
+        return last, *[np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    def _filter_long(self, seg: str) -> tuple[np.ndarray, ...]:
+        """The same for one long segment, whose sums are rescaled on the way; nodes are character positions."""
+        s = seg.replace(PieceBpe.BLANK, _OWN_MARK).replace(" ", PieceBpe.BLANK)
+        at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in seg]))).tolist()
+        forward, first, count, back, width, piece, total = [1.0], [0], [0], [], [], [], []
+        for j in range(1, len(s) + 1):
+            found = []
+            for i in range(max(0, j - self.longest), j):
+                w = self.weight.get(s[i:j])
+                if w is not None:
+                    found.append((forward[i] * w[0], i, at[j] - at[i], w[1]))
+            if s[j - 1] not in self.weight:
+                k = at[j] - at[j - 1]
+                found.append((forward[j - 1] * self.rare**k, j - 1, k, -1))
+            z = math.fsum(x[0] for x in found)
+            forward.append(z)
+            first.append(len(back))
+            count.append(len(found))
+            run = 0.0
+            for w, i, k, p in found:
+                run += w / z
+                back.append(i)
+                width.append(k)
+                piece.append(p)
+                total.append(run)
+            total[-1] = 2.0
+            if z < 1e-200:
+                # Only ratios count: lift the sums that later nodes can still see.
+                low = max(0, j + 1 - self.longest)
+                lift = max(forward[low:])
+                forward[low:] = [f / lift for f in forward[low:]]
+        return np.array(first, np.int64), np.array(count, np.int32), np.array(back, np.int64), np.array(width, np.int32), np.array(piece, np.int32), np.array(total)
+
+    def sample(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Backward sampling of all segments of a block: ids at the bytes where pieces begin, -1 elsewhere.
 
         key: of the row, place: in the row of the segment's end; both per segment.
         """
         out = np.full(len(data), -1, np.int32)
-        node = self.ids[self.start[entries]].astype(np.int64)
-        pos, place = ends.copy(), place.astype(np.uint64)
-        live = np.flatnonzero(self.count[node])
-        node, pos, place, key = node[live], pos[live], place[live], key[live]
+        if not len(starts):
+            return out
+        _, pick, entry = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        last, first, count, back, width_, piece_, run = self.filter(data, starts[pick], ends[pick])
+        node, pos, place = last[entry], ends.copy(), place.astype(np.uint64)
         while len(node):
             u = (mix(key ^ mix(place)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = self.first[node]
-            on = np.flatnonzero(self.sum[edge] <= u)
+            edge = first[node]
+            on = np.flatnonzero(run[edge] <= u)
             while len(on):
                 edge[on] += 1
-                on = on[self.sum[edge[on]] <= u[on]]
-            width, piece = self.width[edge], self.piece[edge]
+                on = on[run[edge[on]] <= u[on]]
+            width, piece = width_[edge], piece_[edge]
             pos = pos - width
             place = place - width.astype(np.uint64)
             out[pos] = piece
             raw = np.flatnonzero(piece < 0)
-            for k in range(4):
+            for k in range(4 if len(raw) else 0):
                 part = raw[width[raw] > k]
                 out[pos[part] + k] = self.byte_ids[data[pos[part] + k]]
-            node = node - self.back[edge]
-            live = np.flatnonzero(self.count[node])
+            node = back[edge]
+            live = np.flatnonzero(count[node])
             if len(live) < len(node):
                 node, pos, place, key = node[live], pos[live], place[live], key[live]
         return out
@@ -158,6 +238,14 @@ class Lattice(WordTable):
         return self.piece_bytes[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
+def _one_character(lead: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Whether the bytes from `begin` are one character."""
+    out = lead[begin].copy()
+    for k in range(1, width):
+        out &= ~lead[begin + k]
+    return out
+
+
 class _Maker:
     def __init__(self, alpha: float):
         self.alpha = alpha
@@ -181,11 +269,11 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
 def sampled_documents(lattice: Lattice, keys: np.ndarray, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
     """Row, sampled ids, and whether they decode to the row's text; row after row."""
     held, base, fine = [], 0, True
-    for lo, hi, part, s, e, first, at, more in _blocks(lattice, data, off):
+    for lo, hi, part, s, e, first, more in _blocks(data, off):
         count = np.diff(first)
         row = np.repeat(np.arange(lo, hi), count)
         begin = s[np.minimum(first[:-1], max(0, len(s) - 1))] if len(s) else np.zeros(hi - lo, np.int64)
-        got = lattice.sample(part, e, at, keys[row], e - begin[row - lo] + base)
+        got = lattice.sample(part, s, e, keys[row], e - begin[row - lo] + base)
         placed = np.flatnonzero(got >= 0)
         ids = got[placed]
         cut = np.searchsorted(placed, np.append(s, len(part))[first])
@@ -202,15 +290,12 @@ def sampled_documents(lattice: Lattice, keys: np.ndarray, data: np.ndarray, off:
             yield lo + i, own, same or np.array_equal(lattice.decode_bytes(own), part[s[first[i]] if count[i] else 0 : e[first[i + 1] - 1] if count[i] else 0])
 
 
-def _blocks(lattice: Lattice, data: np.ndarray, off: np.ndarray):
-    """As `PieceBpe.blocks`, with entries of this lattice."""
-    from quillveil.llm.bytesops import span_hashes
-    from quillveil.llm.tokenizing import _parts
-
+def _blocks(data: np.ndarray, off: np.ndarray):
+    """Row range, bytes, segment starts, ends, first segment of each row, and whether the last row goes on."""
     data, off = PieceBpe.prepare(data, off)
-    for lo, hi, part, o, more in _parts(data, off, lambda x: x == 10):
+    for lo, hi, part, o, more in text_parts(data, off, lambda x: x == 10):
         s, e, first = PieceBpe.segments(part, o)
-        yield lo, hi, part, s, e, first, lattice.entries(part, s, e, span_hashes(part, s, e)), more
+        yield lo, hi, part, s, e, first, more
 
 
 def sample_pieces(docs: DataFrame, model_path: str, seed: int = SEED, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,8 +325,9 @@ def sample_pieces(docs: DataFrame, model_path: str, seed: int = SEED, alpha: flo
             if rows:
                 yield out(b, size, rows, held, fine)
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, lossless boolean")
+    return source.mapInArrow(tidy(run, True), f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, lossless boolean")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:

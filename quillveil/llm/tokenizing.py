@@ -26,7 +26,7 @@ def cached(kind, path: str):
     return _cached[key]
 
 
-def _parts(data: np.ndarray, off: np.ndarray, is_cut) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+def text_parts(data: np.ndarray, off: np.ndarray, is_cut) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
     """Blocks: first row, end row, bytes, offsets, whether a long row goes on in the next block."""
     for lo, hi in row_blocks(off):
         a, b = int(off[lo]), int(off[hi])
@@ -63,7 +63,7 @@ class WordBpe:
 
     def blocks(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
         """Row range, ids of its texts in a row, number of ids per row, and whether its last row goes on."""
-        for lo, hi, part, o, more in _parts(data, off, lambda x: _SPACE[x]):
+        for lo, hi, part, o, more in text_parts(data, off, lambda x: _SPACE[x]):
             s, e, first = ascii_words(part, o)
             ids, lens = self.table.gather(self.table.entries(part, s, e, span_hashes(part, s, e)))
             ends = np.concatenate(([0], np.cumsum(lens)))
@@ -141,6 +141,6 @@ class PieceBpe:
     def blocks(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
         """Row range, block bytes, segment starts, ends, first segment of each row, table entries, whether the last row goes on."""
         data, off = self.prepare(data, off)
-        for lo, hi, part, o, more in _parts(data, off, lambda x: x == 10):
+        for lo, hi, part, o, more in text_parts(data, off, lambda x: x == 10):
             s, e, first = self.segments(part, o)
             yield lo, hi, part, s, e, first, self.table.entries(part, s, e, span_hashes(part, s, e)), more
