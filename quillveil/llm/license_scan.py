@@ -23,6 +23,7 @@ each; an empty table gives no row; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 
@@ -208,13 +209,45 @@ def vocabulary() -> list[str]:
     return sorted(sorted(count, key=lambda g: (-count[g], g))[:MAX_FEATURES])
 
 
+def _word_grams(words: list[str]) -> set[str]:
+    """N-grams with a telling word."""
+    stop = set(STOP_WORDS)
+    return {" ".join(words[i : i + n]) for n in range(1, MAX_WORDS + 1) for i in range(len(words) - n + 1) if any(x not in stop and not x.isdigit() for x in words[i : i + n])}
+
+
+@functools.cache
+def _owners() -> dict[str, set[str]]:
+    """Families by the n-grams of their templates."""
+    owners: dict[str, set[str]] = {}
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            for g in _word_grams(_plain(t)):
+                owners.setdefault(g, set()).add(family)
+    return owners
+
+
+def families_told(text: str) -> set[str]:
+    """Families that this text holds an n-gram of no other family's templates."""
+    owners = _owners()
+    return {f for g in _word_grams(_plain(text)) if len(found := owners.get(g, ())) == 1 for f in found}
+
+
 def training_rows(variants: int = VARIANTS, seed: int = SEED) -> list[tuple[str, str]]:
-    """(family, text) from the templates and their variants, and the fixed negatives."""
+    """(family, text) from the templates and their variants, and the fixed negatives.
+
+    Part of a notice that its family shares with others in every n-gram is an
+    example of `unknown`.
+    """
     rng, rows = random.Random(seed), []
     for family, texts in TEMPLATES.items():
         for t in texts:
             rows += [(family, t)] * 3
             w = t.split()
+            for _ in range(variants // 2):
+                size = min(len(w), rng.randint(3, 9))
+                at = rng.randint(0, len(w) - size)
+                part = " ".join(w[at : at + size])
+                rows.append((family if family in families_told(part) else UNKNOWN, part))
             for _ in range(variants):
                 x = list(w)
                 if len(x) > 12:
@@ -223,7 +256,8 @@ def training_rows(variants: int = VARIANTS, seed: int = SEED) -> list[tuple[str,
                     x = x[at : at + size]
                 x = [y for y in x if len(x) < 6 or rng.random() > 0.06]
                 before, after = ([rng.choice(_FILLER) for _ in range(rng.choice((0, 0, 2, 5)))] for _ in range(2))
-                rows.append((family, " ".join([*before, *x, *after])))
+                made = " ".join([*before, *x, *after])
+                rows.append((family if family in families_told(made) else UNKNOWN, made))
     for t in HARD_NEGATIVES:
         rows.append((UNKNOWN, t))
         for _ in range(variants // 2):
@@ -313,7 +347,7 @@ def train(spark: SparkSession, corpus: DataFrame | None = None, negatives: int =
             total += (top - r.logits[int(r.label)]) / t + math.log(sum(math.exp((x - top) / t) for x in r.logits))
         return total
 
-    model.temperature = min((0.25 * 1.25**i for i in range(16)), key=loss)
+    model.temperature = min((0.5 * 1.25**i for i in range(12)), key=loss)
     return model
 
 
