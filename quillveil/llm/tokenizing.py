@@ -38,13 +38,25 @@ def text_parts(data: np.ndarray, off: np.ndarray, is_cut) -> Iterator[tuple[int,
             yield lo, hi, data[a + x : a + y], np.array([0, y - x]), i < len(cuts) - 2
 
 
+#: ASCII classes: letters, digits, apostrophe, bar, other marks; 0 is white space and all that is not ASCII.
+_CLASS = np.zeros(256, np.uint8)
+for _c in range(33, 127):
+    _CLASS[_c] = 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 3 if _c == 39 else 4 if _c == 124 else 5
+#: Pairs of neighbouring classes that no token spans. An apostrophe may begin a contraction, a bar a special string.
+_CUT = np.zeros((8, 8), bool)
+for _a, _b in ((1, 2), (1, 3), (1, 5), (2, 1), (2, 2), (2, 3), (2, 5), (3, 2), (5, 1), (5, 2)):
+    _CUT[_a, _b] = True
+
+
 class WordBpe:
-    """`tokenizers` file whose pre-tokenizer never crosses white space.
+    """`tokenizers` file that splits texts at white space and between letters, digits and marks, in lower case.
 
     The normaliser (NFC, white space to one blank, lower case) and the split
-    pattern treat ASCII white space as a boundary that no token spans, so the
-    ids of a text are those of its white-space-free runs in turn. Special
-    strings lie within such runs and get the library's default treatment.
+    pattern treat ASCII white space, and most changes between ASCII letters,
+    digits and marks, as boundaries that no token spans, so the ids of a text
+    are those of its parts in turn. Parts keep apostrophes before letters,
+    bars, and all that is not ASCII with their neighbours, so contractions,
+    special strings and composed characters get the library's own treatment.
     """
 
     def __init__(self, path: str):
@@ -61,10 +73,27 @@ class WordBpe:
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
+    @staticmethod
+    def parts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with ASCII letters in lower case where that changes no token, starts and ends of parts, and the first part of each row."""
+        s, e, first = ascii_words(data, off)
+        if not len(s):
+            return data, s, e, first
+        kind = _CLASS[data]
+        cut = np.flatnonzero(_CUT[kind[:-1], kind[1:]]) + 1
+        # Texts lie side by side: a cut at the start of a row is there already.
+        cut = cut[~np.isin(cut, off, kind="sort")] if len(cut) else cut
+        starts, ends = np.sort(np.concatenate((s, cut))), np.sort(np.concatenate((e, cut)))
+        if not np.any((data[:-1] == 60) & (data[1:] == 124)):  # the bytes that special strings begin with
+            upper = (data >= 65) & (data <= 90)
+            upper[:-1] &= data[1:] < 128
+            data = np.where(upper, data + 32, data).astype(np.uint8)
+        return data, starts, ends, np.searchsorted(starts, off)
+
     def blocks(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
         """Row range, ids of its texts in a row, number of ids per row, and whether its last row goes on."""
         for lo, hi, part, o, more in text_parts(data, off, lambda x: _SPACE[x]):
-            s, e, first = ascii_words(part, o)
+            part, s, e, first = self.parts(part, o)
             ids, lens = self.table.gather(self.table.entries(part, s, e, span_hashes(part, s, e)))
             ends = np.concatenate(([0], np.cumsum(lens)))
             yield lo, hi, ids, np.diff(ends[first]), more
