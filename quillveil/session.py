@@ -59,6 +59,6 @@ def release_scratch(spark: SparkSession) -> None:
 def partitions_for(df: DataFrame, most_bytes: int = 64 << 20) -> int:
     """Partitions for an explicit shuffle of `df`: the session's number, or more where the plan's size asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     # Without statistics Spark assumes an absurd size; then the session's number stands.
     return least if size > 1 << 60 else max(least, -(-size // most_bytes))
