@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.catalog import auditing, layouts, texts
+from quillveil.catalog import auditing, files, layouts, texts
 from quillveil.catalog.common import Entry
 
 
 def _entries() -> dict[str, Entry]:
-    return texts.ENTRIES | layouts.ENTRIES | auditing.ENTRIES
+    return texts.ENTRIES | layouts.ENTRIES | auditing.ENTRIES | files.ENTRIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

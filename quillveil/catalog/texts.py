@@ -11,7 +11,7 @@ from quillveil.functions.folding import fold_column
 from quillveil.functions.html import patterns, sanitized
 from quillveil.functions.reports import header_value
 from quillveil.functions.text import match_spans, shorten
-from quillveil.operators.apply import redact_text
+from quillveil.operators.apply import redact_native, redact_text
 from quillveil.operators.audit import with_evidence
 from quillveil.operators.layout import document_lines
 from quillveil.operators.matching import documents_with_literals, find_hits, next_lines, pair_hits
@@ -123,6 +123,11 @@ def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "n_spans")
 
 
+def redacted_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = redact_native(documents(spark, sf_dir), preset_rules(["email"]), "[x]")
+    return out.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "n_spans")
+
+
 def match_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = documents(spark, sf_dir)
     found = with_evidence(find_hits(pages, preset_rules(["email"])), pages)
@@ -188,6 +193,7 @@ UNION ALL SELECT 'b', turn::INTEGER, len(list_filter(regexp_split_to_array(lower
         f"SELECT doc_id, count(*) AS n_pairs FROM (SELECT doc_id, text, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM ({_LINES_SQL})) WHERE text LIKE '%.' AND regexp_matches(nxt, '(?i)^(?:the|de|la|der)($|{BREAK_SQL})') GROUP BY doc_id",
     ),
     "redacted_text": Entry(redacted_text, f"SELECT doc_id, length(r)::INTEGER AS n_chars, md5(r) AS digest, n::INTEGER AS n_spans FROM (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '', 'g') AS r, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS n FROM documents)"),
+    "redacted_in_row": Entry(redacted_in_row, f"SELECT doc_id, length(r)::INTEGER AS n_chars, md5(r) AS digest, n::INTEGER AS n_spans FROM (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[x]', 'g') AS r, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS n FROM documents)"),
     "match_snippets": Entry(
         match_snippets,
         f"SELECT doc_id, 1 AS page, start_at, replace(substr(text, greatest(start_at - 30, 0) + 1, end_at + 30 - greatest(start_at - 30, 0)), chr(10), '\\n') AS snippet, contains(\"match\", chr(10)) AS spans_line_break FROM ({spans_sql('documents', EMAIL_SQL)})",

@@ -48,17 +48,22 @@ def in_scope(page: Column, rule: Rule) -> Column:
     return F.lit(True) if rule.pages is None else page.isin(list(rule.pages))
 
 
-def _native_hits(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One scan of the pages for all native rules."""
+def page_spans(text: Column, page: Column, rules: list[Rule]) -> Column:
+    """Array of (rule_id, kind, start, end, match) of native rules on one page, within the row."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def tagged(r: Rule) -> Column:
-        spans = F.when(in_scope(F.col("page"), r), rule_spans(F.col("text"), r)).otherwise(none)
-        original = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+        spans = F.when(in_scope(page, r), rule_spans(text, r)).otherwise(none)
+        original = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
         return F.transform(spans, lambda s: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), original(s).alias("match")))
 
-    each = [tagged(r) for r in rules]
-    return pages.select("doc_id", "page", F.explode(F.concat(*each)).alias("hit")).select("doc_id", "page", "hit.*")
+    return F.concat(*[tagged(r) for r in rules])
+
+
+def _native_hits(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One scan of the pages for all native rules."""
+    spans = page_spans(F.col("text"), F.col("page"), rules)
+    return pages.select("doc_id", "page", F.explode(spans).alias("hit")).select("doc_id", "page", "hit.*")
 
 
 def _regex_hits(pages: DataFrame, rules: list[Rule], budget: float) -> DataFrame:
