@@ -364,12 +364,14 @@ def scan_paragraphs(paragraphs: DataFrame, model: LicenseModel, keys: list[str],
     vocabulary_ = sorted(model.features)
     ready = worded.select(*keys, F.filter(features_of(F.col("words")), lambda f: f.isin(vocabulary_)).alias("features"), "words")
     scored = model.probabilities(ready.select(*keys, "features"), keys).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= 0.5))
+    # Written, so that its size is known: only the texts of predicted paragraphs need to move, or none if it is small.
+    scored = materialize(scored, "license-scored")
     spark = paragraphs.sparkSession
     templates = _table(spark, [(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, text string")
     templates = templates.groupBy("family").agg(F.collect_list(_shingles(words_of(F.col("text")))).alias("templates"))
-    own = worded.select(*keys, _shingles(F.col("words")).alias("own"))
+    own = worded.select(*keys, "words")
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.least(F.size(t), F.size("own"))))
-    joined = scored.join(own, keys).join(F.broadcast(templates), "family").select(*keys, "family", "probability", share.alias("template_similarity"))
+    joined = scored.join(own, keys).withColumn("own", _shingles(F.col("words"))).join(F.broadcast(templates), "family").select(*keys, "family", "probability", share.alias("template_similarity"))
     return joined.withColumn("confirmed", F.col("template_similarity") >= confirm)
 
 
