@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillveil.llm.bytesops import bounded_batches
 from quillveil.llm.components import connected_components
-from quillveil.session import materialize
+from quillveil.session import materialize, partitions_for
 
 THRESHOLD = 0.98
 FIT_ROWS = 2000
@@ -148,7 +148,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
 
     placed = classes.select("label", "key", "rep", "copies", "vec").mapInArrow(place, f"label {label_type}, key binary, rep bigint, copies bigint, vec binary, dim int, c0 bigint, c1 bigint, c2 bigint")
     order = ("label", "dim", "c0", "c1", "c2", "key")
-    parts = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, partitions_for(vectors))
     ordered = materialize(placed, "ego-placed").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,3 +215,16 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
     verdict = materialize(verdict.select("label", "key", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_component")), "ego-verdict")
     component = F.coalesce("_component", "vec_id")
     return rows.select("vec_id", "label", "key").join(verdict, ["label", "key"], "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL for `link_vectors` of an embeddings table of distinct ids, by comparison of all pairs of a label.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS vec, b AS root FROM e UNION SELECT e.a, r.root FROM e JOIN r ON e.b = r.vec),
+k AS (SELECT vec, least(min(root), vec) AS component FROM r GROUP BY vec),
+q AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN q ON q.a = vec_id LEFT JOIN k ON k.vec = vec_id"""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillveil.llm.bytesops import ascii_words, bounded_batches, buffers, mix, row_blocks, span_hashes, text_blocks, tidy
 from quillveil.llm.components import connected_components
-from quillveil.session import materialize
+from quillveil.session import materialize, partitions_for
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -279,7 +279,7 @@ def link_documents(docs: DataFrame, threshold: Fraction = THRESHOLD, recall: flo
     )
     placed = materialize(placed, "jaccard-placed")
     texts = placed.join(source, "doc").select("doc", "copies", "group", "chunk", "chunks", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(docs)
     keys = ("group", "a", "b")
     bundles = texts.mapInArrow(tidy(_bundle), "group bigint, a int, b int, side int, data binary").repartition(parts, *keys).sortWithinPartitions(*keys)
     found = materialize(bundles.mapInArrow(tidy(_verify(threshold, words)), "doc bigint, links bigint, root bigint"), "jaccard-links")
@@ -306,3 +306,18 @@ def drop_near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, recal
         named = left.filter(F.col(key).isNotNull()).dropDuplicates([key, text])
         left = named.unionByName(left.filter(F.col(key).isNull()))
     return left.toDF(*names)
+
+
+#: DuckDB SQL for `link_documents` of a documents table of distinct ids, by comparison of all pairs with a common n-gram.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc, b AS root FROM e UNION SELECT e.a, r.root FROM e JOIN r ON e.b = r.doc),
+k AS (SELECT doc, least(min(root), doc) AS component FROM r GROUP BY doc),
+q AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) ELSE doc_id END AS class_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM t LEFT JOIN q ON q.a = doc_id LEFT JOIN k ON k.doc = doc_id"""

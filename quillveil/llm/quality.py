@@ -53,7 +53,7 @@ RULES = (
     Rule("mean_word_chars", 2.0, 14.0),
     Rule("symbol_ratio", None, 0.10),
     Rule("mark_ratio", None, 0.20),
-    Rule("stop_ratio", 0.06, None),
+    Rule("stop_ratio", 0.03, None),
     Rule("dup_line_ratio", None, 0.40),
     Rule("upper_ratio", None, 0.50),
 )
@@ -164,3 +164,21 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     """The documents that pass, with all their columns."""
     verdict = compile_rules(rules)
     return docs.filter(_let(measures(F.col(text_col)), lambda m: ~base_failed(m) & verdict(m)))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for `score_documents` of a documents table."""
+    stop = ", ".join("'" + w + "'" for w in _STOP_SET)
+    count = lambda chars: f"(length(t) - length(regexp_replace(t, '[{chars}]+', '', 'g')))"
+    tests = " AND ".join([f"{r.measure} >= {r.low}" for r in rules if r.low is not None] + [f"{r.measure} <= {r.high}" for r in rules if r.high is not None])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT d.doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {count(_SYMBOLS)}::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  {count(_MARKS)} AS marks, {count(_UPPER)} AS upper, len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS stops, len(l) AS lines FROM d LEFT JOIN r USING (doc_id)),
+m AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  word_chars::DOUBLE / greatest(n_words, 1) AS mean_word_chars, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_ratio, marks::DOUBLE / greatest(n_words, 1) AS mark_ratio, stops::DOUBLE / greatest(n_words, 1) AS stop_ratio,
+  n_dup_lines::DOUBLE / greatest(lines, 1) AS dup_line_ratio, upper::DOUBLE / greatest(word_chars, 1) AS upper_ratio FROM c)
+SELECT *, NOT base_failed AND {tests} AS kept FROM m"""

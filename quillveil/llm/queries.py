@@ -88,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillveil.llm import warc
+    from quillveil.llm import embedding_dedup, ngram_join, quality, warc
 
-    return {"op4_warc": warc.ORACLE_SQL}
+    return {"op2_quality_rules": quality.oracle_sql(), "op4_warc": warc.ORACLE_SQL, "op6_ngram_jaccard": ngram_join.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm.bytesops import bounded_batches, buffers, mix, release_memory, row_blocks, text_blocks, tidy
-from quillveil.session import materialize
+from quillveil.session import materialize, partitions_for
 
 LENGTH = 100
 GRAM = 24
@@ -574,7 +574,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tu
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     group = F.pmod(F.xxhash64(key, F.xxhash64(text)), F.lit(n_groups))
     named = docs.select(*keep, F.col(id_col).cast("long").alias("_sd_id"), key.alias("_sd_k"), F.xxhash64(text).alias("_sd_t"), group.alias("_sd_g"), text.alias("_sd_x"), F.col(text_col).isNull().alias("_sd_n"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(docs)
     bounded_batches(docs.sparkSession)
     found = named.select("_sd_k", "_sd_t", "_sd_g", "_sd_x").mapInArrow(tidy(_scan(n_buckets)), _ROWS)
     merged = materialize(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_merge_buckets), _ROWS), "suffix-merged")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillveil.llm.bytesops import bounded_batches, buffers, tidy
 from quillveil.llm.tokenizing import WordBpe, cached
-from quillveil.session import scratch_path
+from quillveil.session import partitions_for, scratch_path
 
 END_ID = 2
 _OUT_IDS = 1 << 20
@@ -64,8 +64,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
     The texts, not the ids, are dealt out by range: the sampling pass behind
     the range bounds then costs a scan and no tokenization.
     """
-    spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or partitions_for(docs)
     ordered = docs.select(F.col(id_col), F.col(text_col).alias("_text")).repartitionByRange(files, id_col).sortWithinPartitions(id_col, "_text")
     encode_documents(ordered, tokenizer_path, end_id, id_col, "_text").write.options(
         **{"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
