@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SNIPPET_CHARS = 30
+CHUNK = 256
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -14,25 +17,40 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches with their places in code points, end exclusive.
 
     The gaps between matches come from `split`, so places are running sums of
-    lengths; `regexp_instr` would count UTF-16 units. The pattern must not match
-    the empty string.
+    lengths; `regexp_instr` would count UTF-16 units. Sums run in chunks, so a
+    text with very many matches does not copy its list for each. The pattern
+    must not match the empty string.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match")), lambda x: x["match"].isNotNull())
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
+    size = lambda x: F.length(x["gap"]) + F.length(x["match"])
 
     def step(acc: Column, x: Column) -> Column:
-        s = start(acc, x)
-        e = s + F.length(x["match"])
+        s = acc["at"] + F.length(x["gap"])
+        e = acc["at"] + size(x)
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(both, empty, step, lambda acc: acc["out"])
+    def run(part: Column, at: Column) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(part, begin, step, lambda acc: acc["out"])
+
+    def chunked(b: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(b) - 1) / CHUNK).cast("int"))
+        part = lambda c: F.slice(b, c * CHUNK + 1, F.lit(CHUNK))
+        sums = F.transform(chunks, lambda c: F.aggregate(part(c), F.lit(0), lambda n, x: n + size(x)))
+        return let(sums, lambda t: F.flatten(F.transform(chunks, lambda c: run(part(c), F.aggregate(F.slice(t, F.lit(1), c), F.lit(0), lambda n, x: n + x)))))
+
+    return let(both, lambda b: F.when(F.size(b) <= CHUNK, run(b, F.lit(0))).otherwise(chunked(b)))
 
 
 def snippet(text: Column, start: Column, end: Column, around: int = SNIPPET_CHARS) -> Column:

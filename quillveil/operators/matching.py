@@ -54,7 +54,8 @@ def page_spans(text: Column, page: Column, rules: list[Rule]) -> Column:
 
     def tagged(r: Rule) -> Column:
         spans = F.when(in_scope(page, r), rule_spans(text, r)).otherwise(none)
-        original = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        # Only a folded view differs from the text.
+        original = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]) if r.ignore_accents else s["match"]
         return F.transform(spans, lambda s: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), original(s).alias("match")))
 
     return F.concat(*[tagged(r) for r in rules])

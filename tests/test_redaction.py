@@ -94,3 +94,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.pdf").write_bytes(b"%PDF-1.7 ...")
     got = {r.path.rsplit("/", 1)[1]: r.read_error for r in read_files(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": "empty", "b.pdf": "not_a_pdf", "c.pdf": "encrypted", "d.pdf": None}
+
+
+def test_very_many_matches(spark):
+    text = "é the " * 3000
+    pages = spark.createDataFrame([(1, 0, text), (2, 0, ""), (3, 0, None)], SCHEMA)
+    rule = search_rule("the", ignore_accents=False)
+    got = sorted((r.start, r.end) for r in find_hits(pages, [rule]).collect())
+    assert got == [(6 * i + 2, 6 * i + 5) for i in range(3000)]
+    out = {r.doc_id: r.text for r in redact(pages, [rule]).redacted.collect()}
+    assert out == {1: "é  " * 3000, 2: "", 3: None}
