@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from quillveil.functions import detectors as D
+from quillveil.session import spread
 from quillveil.sources.readers import document_pages, read_table
 
 
@@ -20,7 +21,10 @@ class Entry:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
+    """A table; those of texts are spread over the cores if they are small."""
+    df = read_table(spark, sf_dir, name)
+    key = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}.get(name)
+    return spread(df, key) if key else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,9 +56,25 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a plan's result as the optimizer sees it; a scan's is that of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame, key: str, least: int = 1 << 20, most_per_core: int = 16 << 20) -> DataFrame:
+    """Deal a small table out to all cores by a key before work that the processors bound.
+
+    A small file often is one row group, hence one task. Tables with more than
+    `most_per_core` bytes for each core have splits enough and stay as they are,
+    as do tiny ones.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if least < plan_bytes(df) < most_per_core * cores else df
+
+
 def partitions_for(df: DataFrame, most_bytes: int = 64 << 20) -> int:
     """Partitions for an explicit shuffle of `df`: the session's number, or more where the plan's size asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = plan_bytes(df)
     # Without statistics Spark assumes an absurd size; then the session's number stands.
     return least if size > 1 << 60 else max(least, -(-size // most_bytes))
