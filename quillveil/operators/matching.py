@@ -118,16 +118,18 @@ def next_lines(lines: DataFrame, order: list[str]) -> DataFrame:
     return lines.withColumns({"next_no": F.lead("line_no").over(w), "next_text": F.lead("text").over(w)}).filter(F.col("next_no").isNotNull())
 
 
-def pair_hits(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Matches across the boundary of two lines, joined by a line feed or by a blank; a match found both ways counts once."""
-    joined = pairs.select("*", F.explode(F.array(F.lit("\n"), F.lit(" "))).alias("joiner"))
-    whole = F.concat("text", "joiner", "next_text")
-    size = F.length("text")
-    spans = F.filter(rule_spans(whole, rule), lambda s: (s["start"] < size) & (s["end"] > size + 1))
-    hits = joined.select("doc_id", "page", "line_no", "next_no", size.alias("cut"), F.explode(spans).alias("s"))
-    left = F.struct(F.col("s.start").alias("start"), F.col("cut").alias("end"))
-    right = F.struct(F.lit(0).alias("start"), (F.col("s.end") - F.col("cut") - 1).alias("end"))
-    return hits.select("doc_id", "page", F.lit(rule.rule_id).alias("rule_id"), "line_no", "next_no", left.alias("left_span"), right.alias("right_span")).distinct()
+def pair_hits(pairs: DataFrame, rules: Rule | list[Rule], budget: float = BUDGET_SECONDS) -> DataFrame:
+    """Matches across the boundary of two lines, joined by a line feed or by a blank; a match found both ways counts once.
+
+    A match that has only the joiner on one side has an empty span there.
+    """
+    cut = F.length("text").alias("cut")
+    joined = pairs.select(F.struct("doc_id", "line_no", "next_no", cut).alias("doc_id"), "page", "text", "next_text", F.explode(F.array(F.lit("\n"), F.lit(" "))).alias("joiner"))
+    found = find_hits(joined.select("doc_id", "page", F.concat("text", "joiner", "next_text").alias("text")), rules if isinstance(rules, list) else [rules], budget)
+    hits = found.select("doc_id.*", "page", "rule_id", "kind", "start", "end").filter((F.col("start") <= F.col("cut")) & (F.col("end") > F.col("cut")))
+    left = F.struct(F.col("start"), F.col("cut").alias("end"))
+    right = F.struct(F.lit(0).alias("start"), (F.col("end") - F.col("cut") - 1).alias("end"))
+    return hits.select("doc_id", "page", "rule_id", "kind", "line_no", "next_no", left.alias("left_span"), right.alias("right_span")).distinct()
 
 
 def documents_with_literals(pages: DataFrame, literals: dict[int, str]) -> DataFrame:
