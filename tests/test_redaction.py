@@ -6,7 +6,7 @@ from quillveil.functions.text import cut_spans, merge_spans
 from quillveil.operators.apply import redact_text
 from quillveil.operators.matching import find_hits
 from quillveil.plans.redaction import redact, run_request
-from quillveil.plans.rules import parse_request, preset_rules, regex_rules, search_rule
+from quillveil.plans.rules import RequestError, parse_request, preset_rules, regex_rules, search_rule
 from quillveil.sources.readers import read_files
 from quillveil.sources.sinks import report_rows, write_passed
 
@@ -104,3 +104,13 @@ def test_very_many_matches(spark):
     assert got == [(6 * i + 2, 6 * i + 5) for i in range(3000)]
     out = {r.doc_id: r.text for r in redact(pages, [rule]).redacted.collect()}
     assert out == {1: "é  " * 3000, 2: "", 3: None}
+
+
+def test_requests_that_plain_text_cannot_honour(spark):
+    pages = spark.createDataFrame([(1, 0, "a@b.org")], SCHEMA)
+    rect = {"page": 0, "x0": 0, "y0": 0, "x1": 9, "y1": 9}
+    for part in ({"rects": [rect]}, {"acknowledged_regions": [{"page": 0, "bbox": [0, 0, 9, 9]}]}, {"acknowledged_font_pages": [0]}, {"options": {"ocr_proposals": True}}, {"options": {"image_mode": "none"}}):
+        with pytest.raises(RequestError, match=next(iter(part["options"] if "options" in part else part))) as e:
+            run_request(pages, parse_request(part | {"presets": {"keys": ["email"]}}))
+        assert e.value.code == "needs_layout"
+    assert run_request(pages, parse_request({"full_page_rects": [rect], "options": {"image_regions": "block"}})).redacted.first().text == ""
