@@ -132,10 +132,11 @@ class WordTable:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], capacity: int = 1_000_000):
         self.encode, self.capacity = encode, capacity
-        self.mask = (1 << max(10, (2 * capacity - 1).bit_length())) - 1
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, room: int = 0) -> None:
+        """Empty the table, with place for so many words if that is more than its capacity."""
+        self.mask = (1 << max(10, (2 * max(self.capacity, room) - 1).bit_length())) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.slot = np.full(self.mask + 1, -1, np.int32)
         self.n = self.used = 0
@@ -182,8 +183,9 @@ class WordTable:
                 if self.n:
                     self.clear()
                     return self.entries(data, starts, ends, h)
-                if len(np.unique(h)) > self.mask // 2:
-                    raise ValueError("block holds more distinct words than the table can")
+                # More words than the table holds: until it is cleared again, it is as large as this block asks for.
+                if (room := len(np.unique(h))) > self.mask // 2:
+                    self.clear(room)
             new, first = np.unique(h[miss], return_index=True)
             pick = miss[first]
             self._add(new, [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])

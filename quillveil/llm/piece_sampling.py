@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm.bytesops import bounded_batches, buffers, mix, power_tables, prefix_sums, span_hashes, span_keys, tidy
-from quillveil.llm.tokenizing import PieceBpe, cached, text_parts
+from quillveil.llm.tokenizing import PieceBpe, cached
 
 SEED = 20240229
 ALPHA = 0.5
@@ -293,7 +293,7 @@ def sampled_documents(lattice: Lattice, keys: np.ndarray, data: np.ndarray, off:
 def _blocks(data: np.ndarray, off: np.ndarray):
     """Row range, bytes, segment starts, ends, first segment of each row, and whether the last row goes on."""
     data, off = PieceBpe.prepare(data, off)
-    for lo, hi, part, o, more in text_parts(data, off, lambda x: x == 10):
+    for lo, hi, part, o, more in PieceBpe.parts(data, off):
         s, e, first = PieceBpe.segments(part, o)
         yield lo, hi, part, s, e, first, more
 

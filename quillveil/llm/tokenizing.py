@@ -148,16 +148,35 @@ class PieceBpe:
         out = np.insert(data, off[full], 32)
         return out, off + np.concatenate(([0], np.cumsum(np.diff(off) > 0)))
 
+    @staticmethod
+    def _blanks(data: np.ndarray) -> np.ndarray:
+        """Which bytes are blanks, or of the character that stands for them."""
+        blank = data == 32
+        if len(data) > 2 and (mark := np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))).size:
+            for k in range(3):
+                blank[mark + k] = True
+        return blank
+
+    @staticmethod
+    def parts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        """`text_parts`, with long texts cut at line feeds and where a run of blanks starts; only a single longer segment makes a longer part."""
+
+        def is_cut(x: np.ndarray) -> np.ndarray:
+            blank = PieceBpe._blanks(x)
+            starts = blank.copy()
+            starts[1:] &= ~blank[:-1]
+            starts[:3] = False  # the character before may lie outside
+            return starts | (x == 10)
+
+        return text_parts(data, off, is_cut)
+
     @staticmethod
     def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of segments, and the first segment of each row (with one past the end)."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-        blank = data == 32
-        if n > 2 and (mark := np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))).size:
-            for k in range(3):
-                blank[mark + k] = True
+        blank = PieceBpe._blanks(data)
         line = data == 10
         opens = blank.copy()
         opens[1:] &= ~blank[:-1]
@@ -170,6 +189,6 @@ class PieceBpe:
     def blocks(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
         """Row range, block bytes, segment starts, ends, first segment of each row, table entries, whether the last row goes on."""
         data, off = self.prepare(data, off)
-        for lo, hi, part, o, more in text_parts(data, off, lambda x: x == 10):
+        for lo, hi, part, o, more in self.parts(data, off):
             s, e, first = self.segments(part, o)
             yield lo, hi, part, s, e, first, self.table.entries(part, s, e, span_hashes(part, s, e)), more

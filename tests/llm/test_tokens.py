@@ -48,6 +48,31 @@ def test_long_text_in_blocks(spark, tokenizer, pieces):
     assert r[2].n_tokens == len(pieces.encode(text)) and r[2].over_limit and r[3].n_tokens == len(pieces.encode("c"))
 
 
+def test_long_line_in_blocks(tokenizer, pieces):
+    from quillveil.llm.tokenizing import PieceBpe
+
+    bpe = PieceBpe(tokenizer("piece_bpe_32k.model"))
+    text = "".join(f"w{i:x}{'  ' if i % 3 else ' '}" + ("\u2581 z " if i % 5 == 0 else "é") for i in range(450_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    sizes, ids = [], []
+    for _, _, part, _, _, _, at, _ in bpe.blocks(data, np.array([0, len(data)])):
+        sizes.append(len(part))
+        ids.append(bpe.table.gather(at)[0])
+    assert len(data) > 4 << 20 and max(sizes) < (1 << 20) + 100
+    assert np.concatenate(ids).tolist() == pieces.encode(text)
+
+
+def test_blocks_of_more_words_than_the_table_holds():
+    from quillveil.llm.bytesops import WordTable, span_hashes
+
+    table = WordTable(lambda words: [[int(w)] for w in words], capacity=600)
+    for n in (3000, 10, 5000):
+        data = np.frombuffer(b"".join(b"%05d" % i for i in range(n)), np.uint8)
+        starts = np.arange(n) * 5
+        ids, _ = table.gather(table.entries(data, starts, starts + 5, span_hashes(data, starts, starts + 5)))
+        assert ids.tolist() == list(range(n))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=40))
 def test_every_prefix(text):
