@@ -8,31 +8,31 @@ up to LENGTH bytes, and only those whose first LENGTH bytes occur twice.
    it with the smallest hash, the leftmost on ties. Equal strings have equal
    anchors at the same place, so the anchor's hash is the suffix bucket. Runs of
    neighbouring suffixes with one anchor form a segment of at most 2 * LENGTH
-   bytes, described by two hashes of its content, without bytes.
-2. Equal segments. Within a block of input, and then within each bucket, equal
-   segments keep their earliest member; all suffixes of the others repeat. This
-   combines before the shuffle, so a passage that a third of all documents share
-   reaches its bucket once per block.
-3. Unequal segments of one anchor overlap in part (edges of copies, edits). Their
-   bytes are fetched and each bucket is sorted on its own: suffixes by their
-   first PERIOD bytes, and longer ties by ranks of the difference-cover sample,
-   worked out beforehand for the block by prefix doubling. Segments are laid out
-   with their anchors at equal residues, so one cover offset per residue
-   serves all ties of a bucket. Memory is that of one group of buckets.
-4. Hot anchors, with more than HOT different segments in one block of input,
-   would gather in one task. Their suffixes are spread one by one instead, by
-   two hashes of their LENGTH bytes, combined per block as in 2. An anchor that
-   no block finds hot has at most HOT segments from each.
+   bytes.
+2. Scan. In each block of input, of segments that are equal byte by byte the
+   earliest goes on, and all suffixes of the others repeat. This combines before
+   the shuffle, so a passage that a third of all documents share reaches its
+   bucket once per block. What moves is the place of a segment and its bucket's
+   hash, without bytes; buckets with a single segment are done.
+3. Sort. Bytes of the segments of all other buckets are fetched, and one group of
+   buckets at a time is sorted: suffixes by their first PERIOD bytes, and longer
+   ties by ranks of the difference-cover sample, worked out beforehand for the
+   group by prefix doubling. Segments are laid out with their anchors at equal
+   residues, so one cover offset per residue serves all ties of a bucket.
+4. Large buckets, with more than HOT different segments in a block of input or
+   more than MANY in all, are split before they are sorted: by the whole string
+   in place of its anchor, after a block's equal strings are combined. Each
+   suffix of theirs is a segment of its own, sorted like the others.
 5. Spans are merged per document and cut out.
 
-Step 2 and 4 compare 64-bit bucket hash and 64-bit content hash together; step 3
-compares bytes.
+Hashes only choose what meets: every string is found to repeat by its bytes.
 
 Defined results: a null text is empty and stays as it is; texts under LENGTH
 bytes lose nothing; rows that repeat both id and text are one document and get
 the same result; rows that repeat an id with other text are ordered by a hash
-of the text; a null id comes before all others; columns that are not needed
-pass through `remove_repeats` unchanged.
+of the text; a null id comes before all others; a long text is scanned in
+parts, whatever its length; an empty table gives no row; columns that are not
+needed pass through `remove_repeats` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,16 +53,18 @@ LENGTH = 100
 GRAM = 24
 PERIOD = 16
 HOT = 64
+MANY = 4096
 BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 2 << 20
-_CHUNK = 1 << 20
-_BLOCK = 16 << 20
+_CHUNK = 1 << 19
+_PART = 1 << 18
+_BLOCK = 4 << 20
 _SPREAD = LENGTH - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 21) - 1)
 #: What a row of intermediate results holds.
-COVERED, ANCHORS, HOT_REQUEST, REQUEST, SEGMENTS = range(5)
+COVERED, ANCHORS, SPLIT_REQUEST, REQUEST, SEGMENTS = range(5)
 
 
 # Columns of arrays in one compressed value ------------------------------------------------------------------------
@@ -143,17 +145,16 @@ def _spans(docs: Docs, doc: np.ndarray, start: np.ndarray, size: np.ndarray) ->
 # Anchors ----------------------------------------------------------------------------------------------------------
 
 
-def _hashes(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all substrings of 8, 16, 24, 32 and 64 bytes."""
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of all substrings of GRAM and of 64 bytes."""
     power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
-    h, size, out = data.astype(np.uint64) + np.uint64(0x51ED270B), 1, {}
-    while size < 64 and len(h) > size:
-        h = h[:-size] * power(size) + h[size:]
-        size *= 2
-        out[size] = h
-    if 16 in out and len(out[16]) > 8:
-        out[24] = out[16][: len(out[8]) - 16] * power(8) + out[8][16:]
-    return out
+    h, size, grams = data.astype(np.uint64) + np.uint64(0x51ED270B), 1, None
+    while size < 64:
+        longer = h[:-size] * power(size) + h[size:]
+        if size == 8:  # GRAM is 8 and 16
+            grams = longer[: len(h) - 16] * power(8) + h[16:]
+        h, size = longer, 2 * size
+    return grams, h
 
 
 def _string_hashes(h64: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -168,8 +169,8 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Segments of texts in one buffer, whose ends are given by position: start, suffixes, anchor's offset, bucket hash, content hash."""
     if len(data) < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    hashes = _hashes(data)
-    grams = mix(hashes[24])
+    grams, h64 = _hashes(data)
+    grams = mix(grams)
     low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     size = 1
     while 2 * size <= _SPREAD:
@@ -182,28 +183,40 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     start, count, anchor = suffix[first], np.diff(np.append(first, len(suffix))), place[first]
     offset = anchor - start
-    content = _string_hashes(hashes[64], start, count + LENGTH - 1) ^ mix(offset.astype(np.uint64))
+    content = _string_hashes(h64, start, count + LENGTH - 1) ^ mix(offset.astype(np.uint64))
     return start, count, offset, grams[anchor], content
 
 
 def _text_anchors(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, start in its text, suffixes, anchor's offset, bucket hash, content hash: for blocks of texts, and for parts of long ones."""
-    for lo, hi in row_blocks(off, 1 << 20):
+    for lo, hi in row_blocks(off, _PART):
         a, b = int(off[lo]), int(off[hi])
-        if b - a <= 1 << 20:
+        if b - a <= _PART:
             part = data[a:b]
             start, *rest = _anchors(part, np.repeat(off[lo + 1 : hi + 1] - a, np.diff(off[lo : hi + 1])))
             row = np.searchsorted(off[lo : hi + 1] - a, start, "right") - 1
             yield row + lo, start - (off[row + lo] - a), *rest
             continue
-        for x in range(a, b, 1 << 20):
-            part = data[x : min(b, x + (1 << 20) + LENGTH - 1)]
+        for x in range(a, b, _PART):
+            part = data[x : min(b, x + _PART + LENGTH - 1)]
             start, *rest = _anchors(part, np.full(len(part), len(part)))
             yield np.full(len(start), lo), start + (x - a), *rest
 
 
-def _settle(docs: Docs, doc, start, count, offset, bucket, content, hot: int | None):
-    """Of equal segments the earliest stays: which stay, which repeat, and the number of different segments in the bucket of each that stays."""
+def _equal(data: np.ndarray, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether strings at these places have the same bytes."""
+    out = size_a == size_b
+    for lo in range(0, len(a), 1 << 12):
+        at = lo + np.flatnonzero(out[lo : lo + (1 << 12)])
+        if len(at):
+            n = size_a[at]
+            other = data[_ranges(a[at], n)] != data[_ranges(b[at], n)]
+            out[at] = np.add.reduceat(other, np.cumsum(n) - n) == 0
+    return out
+
+
+def _settle(docs: Docs, data, off, doc, start, size, bucket, content):
+    """Of equal strings in a block the earliest stays: which stay, how many different ones their bucket has, and which repeat."""
     rank = docs.ranks()[doc]
     order = np.lexsort((start, rank, content, bucket))
     b, c, r, s = bucket[order], content[order], rank[order], start[order]
@@ -213,7 +226,11 @@ def _settle(docs: Docs, doc, start, count, offset, bucket, content, hot: int | N
     later = ~new & ((r != r[head]) | (s != s[head]))
     kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_b)) if len(b) else np.zeros(0, np.int64)
     per_row = kinds[np.cumsum(new_b) - 1]
-    return order[new], order[later], per_row[new]
+    first, repeat = order[head[later]], order[later]
+    at = off[doc] + start
+    same = _equal(data, at[repeat], size[repeat], at[first], size[first])
+    # Hashes that agree on different bytes only cost a place in the sort.
+    return np.concatenate((order[new], repeat[~same])), np.concatenate((per_row[new], per_row[later][~same])), repeat[same]
 
 
 def _emit(bucket, kind, group, data) -> pa.RecordBatch:
@@ -233,24 +250,26 @@ def _scan(n_buckets: int):
 
     def settle(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs = _batch_docs(b)
-        found = list(_text_anchors(*buffers(b.column(b.schema.get_field_index("_sd_x")))))
+        data, off = buffers(b.column(b.schema.get_field_index("_sd_x")))
+        found = list(_text_anchors(data, off))
         if not found:
             return
         doc, start, count, offset, bucket, content = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         if not len(doc):
             return
-        stay, later, kinds = _settle(docs, doc, start, count, offset, bucket, content, HOT)
+        stay, kinds, later = _settle(docs, data, off, doc, start, count + LENGTH - 1, bucket, content)
         rows: list[tuple] = [(g, COVERED, g, d) for g, d in _spans(docs, doc[later], start[later], count[later] + LENGTH - 1)]
         is_hot = kinds > HOT
-        rows += _requests(docs, stay[is_hot], doc, start, count, offset, bucket, HOT_REQUEST)
-        # One row of a hot anchor goes on as a mark: its suffix count is 0.
+        rows += _requests(docs, stay[is_hot], doc, start, count, offset, bucket, SPLIT_REQUEST)
+        # One row of a large bucket goes on as a mark: its suffix count is 0.
         _, mark = np.unique(bucket[stay[is_hot]], return_index=True)
         keep = np.concatenate((stay[~is_hot], stay[is_hot][mark]))
         n = count.copy()
         n[stay[is_hot][mark]] = 0
         for k, at in _by((bucket[keep] % np.uint64(n_buckets)).astype(np.int64)):
             at = np.sort(keep[at])
-            rows.append((k, ANCHORS, 0, _pack(docs, doc[at], start[at].astype("<u4"), n[at].astype("u1"), offset[at].astype("u1"), bucket[at], content[at])))
+            rows.append((k, ANCHORS, 0, _pack(docs, doc[at], start[at].astype("<u4"), n[at].astype("u1"), offset[at].astype("u1"), bucket[at])))
         yield _emit(*zip(*rows, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +297,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int,
                 if held or passing:
                     yield now, held, passing
                 now, held, passing = bucket, {}, []
-            if kind in (COVERED, HOT_REQUEST):
+            if kind in (COVERED, SPLIT_REQUEST):
                 passing.append((bucket, kind, group, data))
             else:
                 held.setdefault(kind, []).append(data)
@@ -286,27 +305,28 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int,
         yield now, held, passing
 
 
-def _merge(values: list[bytes], final: bool) -> list[tuple]:
-    """The second half of step 2 in one bucket; `final`: each segment is one suffix, so nothing is left to compare."""
-    docs, doc, (start, count, offset, bucket, content) = _unpack(values)
+def _merge(values: list[bytes]) -> list[tuple]:
+    """What the sort needs of one bucket of the hash space: the segments whose anchor has others."""
+    docs, doc, (start, count, offset, bucket) = _unpack(values)
     start, count, offset = start.astype(np.int64), count.astype(np.int64), offset.astype(np.int64)
-    marks = np.unique(bucket[count == 0])
-    real = np.flatnonzero(count)
-    doc, start, count, offset, bucket, content = (x[real] for x in (doc, start, count, offset, bucket, content))
-    if not len(doc):
-        return []
-    stay, later, kinds = _settle(docs, doc, start, count, offset, bucket, content, None)
-    rows = [(g, COVERED, g, d) for g, d in _spans(docs, doc[later], start[later], count[later] + LENGTH - 1)]
-    if not final:
-        hot = np.isin(bucket[stay], marks)
-        rows += _requests(docs, stay[hot], doc, start, count, offset, bucket, HOT_REQUEST)
-        rows += _requests(docs, stay[~hot & (kinds > 1)], doc, start, count, offset, bucket, REQUEST)
-    return rows
+    rank = docs.ranks()[doc]
+    order = np.lexsort((start, rank, bucket))
+    b, r, s = bucket[order], rank[order], start[order]
+    new_b = np.concatenate(([True], b[1:] != b[:-1]))[: len(b)]
+    real = count[order] > 0
+    # Rows that repeat id and text are one document.
+    again = np.concatenate(([False], (b[1:] == b[:-1]) & (r[1:] == r[:-1]) & (s[1:] == s[:-1]) & real[:-1]))[: len(b)]
+    first = np.flatnonzero(new_b)
+    marked = np.add.reduceat((~real).astype(np.int64), first)[np.cumsum(new_b) - 1] > 0
+    n = np.add.reduceat((real & ~again).astype(np.int64), first)[np.cumsum(new_b) - 1]
+    split = real & ~again & (marked | (n > MANY))
+    whole = real & ~again & ~split & (n > 1)
+    return _requests(docs, order[split], doc, start, count, offset, bucket, SPLIT_REQUEST) + _requests(docs, order[whole], doc, start, count, offset, bucket, REQUEST)
 
 
 def _merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, held, passing in _buckets(batches):
-        rows = passing + (_merge(held[ANCHORS], False) if ANCHORS in held else [])
+        rows = passing + (_merge(held[ANCHORS]) if ANCHORS in held else [])
         if rows:
             yield _emit(*zip(*rows, strict=True))
 
@@ -327,7 +347,7 @@ def _locate(docs: Docs, wanted: Docs) -> np.ndarray:
 
 
 def _fetch(n_buckets: int):
-    """Cut the bytes that are asked for out of a group of documents: segments for sorting, and suffixes of hot anchors."""
+    """Cut the bytes that are asked for out of a group of documents: segments, and single suffixes of large buckets."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -336,7 +356,7 @@ def _fetch(n_buckets: int):
             data, off = buffers(left.column("_sd_x"))
             kinds = np.array(right.column("kind").to_pylist())
             values = right.column("data").to_pylist()
-            for kind in (REQUEST, HOT_REQUEST):
+            for kind in (REQUEST, SPLIT_REQUEST):
                 if not (kinds == kind).any():
                     continue
                 wanted, doc, (start, count, offset, bucket) = _unpack([values[i] for i in np.flatnonzero(kinds == kind)])
@@ -348,22 +368,22 @@ def _fetch(n_buckets: int):
                         text = data[_ranges(at[i], count[i] + LENGTH - 1)]
                         rows.append((k, SEGMENTS, 0, _pack(docs, row[i], start[i].astype("<u4"), count[i].astype("u1"), offset[i].astype("u1"), bucket[i]), text.tobytes()))
                     continue
-                for lo in range(0, len(at), 1 << 14):
-                    i = slice(lo, lo + (1 << 14))
+                for lo in range(0, len(at), 1 << 12):
+                    i = slice(lo, lo + (1 << 12))
                     size = count[i] + LENGTH - 1
                     text = data[_ranges(at[i], size)]
-                    h64 = _hashes(text)[64]
+                    h64 = _hashes(text)[1]
                     pos = _ranges(np.cumsum(size) - size, count[i])
                     full = np.full(len(pos), LENGTH)
                     one = _string_hashes(h64, pos, full)
                     two = mix(h64[pos] * np.uint64(3) ^ mix(h64[pos + LENGTH - 64] + np.uint64(7)))
                     d, s = np.repeat(row[i], count[i]), np.repeat(start[i], count[i]) + _ranges(np.zeros(len(size), np.int64), count[i])
-                    stay, later, _ = _settle(docs, d, s, full, full, one, two, None)
+                    stay, _, later = _settle(docs, data, off, d, s, full, one, two)
                     rows += [(g, COVERED, g, x, b"") for g, x in _spans(docs, d[later], s[later], full[later])]
-                    ones = np.ones(len(d), "u1")
                     for k, j in _by((one[stay] % np.uint64(n_buckets)).astype(np.int64)):
                         j = np.sort(stay[j])
-                        rows.append((k, ANCHORS, 0, _pack(docs, d[j], s[j].astype("<u4"), ones[j], ones[j], one[j], two[j]), b""))
+                        text = data[_ranges(off[d[j]] + s[j], full[j])]
+                        rows.append((k, SEGMENTS, 0, _pack(docs, d[j], s[j].astype("<u4"), np.ones(len(j), "u1"), np.zeros(len(j), "u1"), one[j]), text.tobytes()))
         release_memory()
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         data = [x if not y else len(x).to_bytes(8, "little") + x + zstandard.ZstdCompressor(level=1).compress(y) for x, y in zip(columns[3], columns[4], strict=True)]
@@ -502,8 +522,6 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = list(passing)
         if SEGMENTS in held:
             rows += _sort_bucket(held[SEGMENTS])
-        if ANCHORS in held:
-            rows += _merge(held[ANCHORS], True)
         if rows:
             yield _emit(*zip(*rows, strict=True))
 

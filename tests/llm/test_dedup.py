@@ -51,6 +51,27 @@ def test_suffixes_of_hot_anchors(spark, monkeypatch, hot):
     assert spans_of(df) == R.suffixes(rows)
 
 
+def test_settle_compares_bytes():
+    """Segments whose hashes agree are told apart by their bytes."""
+    texts = [b"a" * 120, b"a" * 120, b"b" * 120]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.arange(4) * 120
+    docs = S.Docs(np.arange(3), np.zeros(3, np.int64), np.zeros(3, np.int64))
+    same = np.full(3, 7, np.uint64)
+    stay, _, later = S._settle(docs, data, off, np.arange(3), np.zeros(3, np.int64), np.full(3, 120), same, same)
+    assert sorted(stay.tolist()) == [0, 2] and later.tolist() == [1]
+
+
+def test_suffixes_many_in_one_bucket(spark, monkeypatch):
+    """A bucket of many segments, none of them in a large part of one block, is split as well."""
+    rng = random.Random(14)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + passage + "".join(rng.choice("xyz") for _ in range(30))) for i in range(40)]
+    rows += [(100 + i, t) for i, t in rows[:9]]
+    monkeypatch.setattr(S, "MANY", 5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+    assert spans_of(df) == R.suffixes(rows)
+
+
 def test_suffixes_long_and_repetitive(spark):
     rows = [(1, "ab" * 900_000), (2, "z" * 250), (3, "Z" * 99), (4, "ab" * 60), (5, ("0123456789" * 30))]
     got = spans_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
