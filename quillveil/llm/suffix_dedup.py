@@ -10,8 +10,8 @@ up to LENGTH bytes, and only those whose first LENGTH bytes occur twice.
    neighbouring suffixes with one anchor form a segment of at most 2 * LENGTH
    bytes.
 2. Scan. In each block of input, of segments that are equal byte by byte the
-   earliest goes on, and all suffixes of the others repeat. This combines before
-   the shuffle, so a passage that a third of all documents share reaches its
+   earliest goes on, and all suffixes of the others repeat; so again before a
+   group of buckets is sorted. This combines before the shuffle, so a passage that a third of all documents share reaches its
    bucket once per block. What moves is the place of a segment and its bucket's
    hash, without bytes; buckets with a single segment are done.
 3. Sort. Bytes of the segments of all other buckets are fetched, and one group of
@@ -215,8 +215,8 @@ def _equal(data: np.ndarray, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, s
     return out
 
 
-def _settle(docs: Docs, data, off, doc, start, size, bucket, content):
-    """Of equal strings in a block the earliest stays: which stay, how many different ones their bucket has, and which repeat."""
+def _settle(docs: Docs, doc, start, data, at, size, bucket, content):
+    """Of equal strings the earliest stays: which stay, how many different ones their bucket has, and which repeat. `at`: their places in the data."""
     rank = docs.ranks()[doc]
     order = np.lexsort((start, rank, content, bucket))
     b, c, r, s = bucket[order], content[order], rank[order], start[order]
@@ -227,7 +227,6 @@ def _settle(docs: Docs, data, off, doc, start, size, bucket, content):
     kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_b)) if len(b) else np.zeros(0, np.int64)
     per_row = kinds[np.cumsum(new_b) - 1]
     first, repeat = order[head[later]], order[later]
-    at = off[doc] + start
     same = _equal(data, at[repeat], size[repeat], at[first], size[first])
     # Hashes that agree on different bytes only cost a place in the sort.
     return np.concatenate((order[new], repeat[~same])), np.concatenate((per_row[new], per_row[later][~same])), repeat[same]
@@ -258,7 +257,7 @@ def _scan(n_buckets: int):
         del found
         if not len(doc):
             return
-        stay, kinds, later = _settle(docs, data, off, doc, start, count + LENGTH - 1, bucket, content)
+        stay, kinds, later = _settle(docs, doc, start, data, off[doc] + start, count + LENGTH - 1, bucket, content)
         rows: list[tuple] = [(g, COVERED, g, d) for g, d in _spans(docs, doc[later], start[later], count[later] + LENGTH - 1)]
         is_hot = kinds > HOT
         rows += _requests(docs, stay[is_hot], doc, start, count, offset, bucket, SPLIT_REQUEST)
@@ -378,7 +377,7 @@ def _fetch(n_buckets: int):
                     one = _string_hashes(h64, pos, full)
                     two = mix(h64[pos] * np.uint64(3) ^ mix(h64[pos + LENGTH - 64] + np.uint64(7)))
                     d, s = np.repeat(row[i], count[i]), np.repeat(start[i], count[i]) + _ranges(np.zeros(len(size), np.int64), count[i])
-                    stay, _, later = _settle(docs, data, off, d, s, full, one, two)
+                    stay, _, later = _settle(docs, d, s, data, off[d] + s, full, one, two)
                     rows += [(g, COVERED, g, x, b"") for g, x in _spans(docs, d[later], s[later], full[later])]
                     for k, j in _by((one[stay] % np.uint64(n_buckets)).astype(np.int64)):
                         j = np.sort(stay[j])
@@ -505,7 +504,19 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
         k = max(k - 1, int(np.searchsorted(last, lo)))
         i = order[lo : last[k] + 1]
         lo = int(last[k]) + 1
-        seg, suffix = _sort_segments(docs, doc[i], start[i], count[i], offset[i], bucket[i], text[_ranges(begin[i], size[i])])
+        part, n = text[_ranges(begin[i], size[i])], size[i]
+        place = np.cumsum(n) - n
+        # Equal segments first, so that the sort sees different ones only.
+        content = _string_hashes(_hashes(part)[1], place, n) ^ mix(offset[i].astype(np.uint64))
+        stay, _, later = _settle(docs, doc[i], start[i], part, place, n, bucket[i], content)
+        rows += [(g, COVERED, g, x) for g, x in _spans(docs, doc[i][later], start[i][later], n[later])]
+        stay = np.sort(stay)
+        _, group, members = np.unique(bucket[i][stay], return_inverse=True, return_counts=True)
+        stay = stay[members[group] > 1]
+        if not len(stay):
+            continue
+        part, i = part[_ranges(place[stay], n[stay])], i[stay]
+        seg, suffix = _sort_segments(docs, doc[i], start[i], count[i], offset[i], bucket[i], part)
         if not len(seg):
             continue
         # Neighbouring suffixes of a segment make one span.
