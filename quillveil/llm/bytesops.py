@@ -121,17 +121,24 @@ def safe_cuts(data: np.ndarray, block: int, is_cut: Callable[[np.ndarray], np.nd
     return [*cuts, n]
 
 
+def _eight(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, those past the size as zeros. The data ends with eight spare bytes."""
+    raw = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))[at].view("<u8").ravel()
+    short = np.minimum(size, 8)
+    return np.where(short >= 8, raw, raw & ((np.uint64(1) << (np.uint64(8) * short.astype(np.uint64))) - np.uint64(1)))
+
+
 class WordTable:
-    """Token ids by word: an open-addressing table from word hash to a slice of ids.
+    """Values by word (token ids, or others): an open-addressing table from word hash to a slice of values.
 
-    `encode` gives the ids for a list of words. The table is emptied once it
-    holds `capacity` words, so its memory is bounded whatever the vocabulary.
-    Words are told apart by 64-bit hash (a clash among a million words has a
-    chance of about 3e-8).
+    `entries` gives the entry of each word, and `gather` their values. The
+    table is emptied once it holds `capacity` words or `most` values, so its
+    memory is bounded whatever the vocabulary. Hashes only find an entry: a word
+    is taken for the same if its bytes are.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], capacity: int = 1_000_000):
-        self.encode, self.capacity = encode, capacity
+    def __init__(self, encode: Callable[[list[str]], list], capacity: int = 1_000_000, kind=np.uint32, most: int = 1 << 25):
+        self.encode, self.capacity, self.kind, self.most = encode, capacity, kind, most
         self.clear()
 
     def clear(self, room: int = 0) -> None:
@@ -139,9 +146,10 @@ class WordTable:
         self.mask = (1 << max(10, (2 * max(self.capacity, room) - 1).bit_length())) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.slot = np.full(self.mask + 1, -1, np.int32)
-        self.n = self.used = 0
+        self.n = self.used = self.text_used = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.ids = np.zeros(8192, np.uint32)
+        self.head, self.tail, self.size, self.text_at = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids, self.text = np.zeros(8192, self.kind), np.zeros(8192, np.uint8)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where unknown."""
@@ -155,45 +163,80 @@ class WordTable:
             rest = rest[(got >= 0) & (self.keys[at[rest]] != h[rest])]
         return out
 
-    def _add(self, h: np.ndarray, words: list[str]) -> None:
-        found = self.encode(words)
+    def _add(self, h: np.ndarray, raw: list[bytes]) -> None:
+        found = self.encode([x.decode("utf-8", "replace") for x in raw])
         lens = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))
-        n, used = self.n + len(words), self.used + len(flat)
+        flat = np.frombuffer(b"".join(found), self.kind) if found and isinstance(found[0], bytes) else np.fromiter((i for x in found for i in x), self.kind, int(lens.sum()))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        # Words of up to 16 bytes are known by their first and last eight.
+        long = [x if len(x) > 16 else b"" for x in raw]
+        n, used, text = self.n + len(raw), self.used + len(flat), b"".join(long)
         if n > len(self.start):
-            self.start, self.length = (np.resize(x, max(n, 2 * len(x))) for x in (self.start, self.length))
+            grown = lambda x: np.resize(x, max(n, 2 * len(x)))
+            self.start, self.length, self.head, self.tail, self.size, self.text_at = map(grown, (self.start, self.length, self.head, self.tail, self.size, self.text_at))
         if used > len(self.ids):
             self.ids = np.resize(self.ids, max(used, 2 * len(self.ids)))
+        if self.text_used + len(text) > len(self.text):
+            self.text = np.resize(self.text, max(self.text_used + len(text), 2 * len(self.text)))
+        new = slice(self.n, n)
         self.ids[self.used : used] = flat
-        self.length[self.n : n] = lens
-        self.start[self.n : n] = self.used + np.cumsum(lens, dtype=np.int64) - lens
+        self.length[new] = lens
+        self.start[new] = self.used + np.cumsum(lens, dtype=np.int64) - lens
+        data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
+        begin = np.cumsum(size) - size
+        self.head[new], self.tail[new], self.size[new] = _eight(data, begin, size), _eight(data, begin + np.maximum(size - 8, 0), size), size
+        kept = np.fromiter(map(len, long), np.int64, len(long))
+        self.text_at[new] = self.text_used + np.cumsum(kept) - kept
+        self.text[self.text_used : self.text_used + len(text)] = np.frombuffer(text, np.uint8)
         for i, key in enumerate(h.tolist()):
             at = key & self.mask
             while self.slot[at] >= 0:
                 at = (at + 1) & self.mask
             self.keys[at], self.slot[at] = key, self.n + i
-        self.n, self.used = n, used
+        self.n, self.used, self.text_used = n, used, self.text_used + len(text)
 
-    def entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Entry of each word; unknown words are encoded and added first."""
+    def _fill(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash; the first word of each unknown one is encoded and added."""
         at = self._find(h)
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            if self.n + len(miss) > self.capacity:
-                if self.n:
-                    self.clear()
-                    return self.entries(data, starts, ends, h)
-                # More words than the table holds: until it is cleared again, it is as large as this block asks for.
-                if (room := len(np.unique(h))) > self.mask // 2:
-                    self.clear(room)
             new, first = np.unique(h[miss], return_index=True)
             pick = miss[first]
-            self._add(new, [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])
+            self._add(new, [data[a:b].tobytes() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])
             at[miss] = self._find(h[miss])
         return at
 
+    def _others(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Which words are not those of their entries."""
+        differ = (self.size[at] != size) | (self.head[at] != head) | (self.tail[at] != tail)
+        long = np.flatnonzero((size > 16) & ~differ)
+        for lo in range(0, len(long), 1 << 14):
+            i = long[lo : lo + (1 << 14)]
+            n = size[i]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            other = data[np.repeat(starts[i], n) + step] != self.text[np.repeat(self.text_at[at[i]], n) + step]
+            differ[i] = np.logical_or.reduceat(other, np.cumsum(n) - n)
+        return np.flatnonzero(differ)
+
+    def entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Entry of each word; unknown words are encoded and added first."""
+        unknown = int((self._find(h) < 0).sum())
+        if unknown and (self.n + unknown > self.capacity or self.used > self.most) and (self.n or unknown > self.capacity):
+            # More words than the table holds: until it is cleared again, it is as large as this block asks for.
+            self.clear(len(np.unique(h)))
+        at = self._fill(data, starts, ends, h)
+        size, spare = ends - starts, np.concatenate((data, np.zeros(8, np.uint8)))
+        head, tail = _eight(spare, starts, size), _eight(spare, starts + np.maximum(size - 8, 0), size)
+        rest = self._others(at, data, starts, size, head, tail)
+        while len(rest):  # words whose hashes clash get other hashes
+            h = h.copy()
+            h[rest] = mix(h[rest] + np.uint64(1))
+            at[rest] = self._fill(data, starts[rest], ends[rest], h[rest])
+            rest = rest[self._others(at[rest], data, starts[rest], size[rest], head[rest], tail[rest])]
+        return at
+
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of these entries in order, and the number of ids of each."""
+        """All values of these entries in order, and the number of values of each."""
         lens = self.length[at].astype(np.int64)
         total = int(lens.sum())
         shift = self.start[at] - (np.cumsum(lens) - lens)

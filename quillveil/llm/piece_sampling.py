@@ -8,8 +8,8 @@ sampling then draws, from the end, the edge into each node in proportion to
 the sum before it times its own weight. That is an exact draw from all
 segmentations.
 
-No piece crosses the start of a run of blanks or a line feed, so the lattice
-falls apart into segments there. In each block of text, each distinct segment
+No piece crosses the start of a run of blanks, a line feed, or a pair of
+characters that no piece holds, so the lattice falls apart into segments there. In each block of text, each distinct segment
 is filtered once, all of them together, depth by depth; then all segments are
 sampled together, piece by piece. The random number at a node is a
 hash of the seed, the row's key, and the node's place in the row, so a row
@@ -42,7 +42,6 @@ ALPHA = 0.5
 _OUT_IDS = 1 << 20
 _SHORT = 64
 _SPREAD = 0x9FB21C651E98DF25 & (2**44 - 1) | 1
-_OWN_MARK = ""
 
 
 class Lattice:
@@ -60,7 +59,6 @@ class Lattice:
         size = sp.get_piece_size()
         normal = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.weight = {sp.id_to_piece(i): ((r + 1.0) ** -alpha, i) for r, i in enumerate(normal)}
-        self.longest = max(map(len, self.weight))
         self.rare = (len(normal) + 1.0) ** -alpha
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         text = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(PieceBpe.BLANK, " ").encode() for i in range(size)]
@@ -158,7 +156,7 @@ class Lattice:
         parts = [(first, count, back, width_, piece_, run)]
         edges = total
         for i in long.tolist():
-            made = self._filter_long(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+            made = self._filter_long(data, sums, down, lead, int(starts[i]), int(size[i]))
             made[0][:] += edges
             made[2][:] += nodes
             nodes, edges = nodes + len(made[0]), edges + len(made[2])
@@ -166,38 +164,51 @@ class Lattice:
             parts.append(made)
         return last, *[np.concatenate(x) for x in zip(*parts, strict=True)]
 
-    def _filter_long(self, seg: str) -> tuple[np.ndarray, ...]:
-        """The same for one long segment, whose sums are rescaled on the way; nodes are character positions."""
-        s = seg.replace(PieceBpe.BLANK, _OWN_MARK).replace(" ", PieceBpe.BLANK)
-        at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in seg]))).tolist()
-        forward, first, count, back, width, piece, total = [1.0], [0], [0], [], [], [], []
-        for j in range(1, len(s) + 1):
-            found = []
-            for i in range(max(0, j - self.longest), j):
-                w = self.weight.get(s[i:j])
-                if w is not None:
-                    found.append((forward[i] * w[0], i, at[j] - at[i], w[1]))
-            if s[j - 1] not in self.weight:
-                k = at[j] - at[j - 1]
-                found.append((forward[j - 1] * self.rare**k, j - 1, k, -1))
-            z = math.fsum(x[0] for x in found)
-            forward.append(z)
-            first.append(len(back))
-            count.append(len(found))
-            run = 0.0
-            for w, i, k, p in found:
-                run += w / z
-                back.append(i)
-                width.append(k)
-                piece.append(p)
-                total.append(run)
-            total[-1] = 2.0
-            if z < 1e-200:
-                # Only ratios count: lift the sums that later nodes can still see.
-                low = max(0, j + 1 - self.longest)
-                lift = max(forward[low:])
-                forward[low:] = [f / lift for f in forward[low:]]
-        return np.array(first, np.int64), np.array(count, np.int32), np.array(back, np.int64), np.array(width, np.int32), np.array(piece, np.int32), np.array(total)
+    def _filter_long(self, data: np.ndarray, sums: np.ndarray, down: np.ndarray, lead: np.ndarray, s: int, n: int) -> tuple[np.ndarray, ...]:
+        """The same for one long segment, whose nodes are its bytes: edges are found all at once, sums run from node to node.
+
+        Sums are kept as a number and a power of two, so they neither vanish nor overflow.
+        """
+        found, single = [], np.zeros(n + 1, bool)
+        for width in self.sizes:
+            if width > n:
+                continue
+            end = np.arange(s + width, s + n + 1)
+            piece = self._lookup((sums[end] - sums[end - width]) * down[end - width])
+            hit = np.flatnonzero(piece >= 0)
+            found.append((hit + width, width, piece[hit]))
+            if width <= 4:
+                single[hit + width] |= _one_character(lead, s + hit, width)
+        for width in range(min(4, n), 0, -1):
+            at = width + np.flatnonzero(~single[width:])
+            raw = at[lead[s + at] & _one_character(lead, s + at - width, width)]
+            found.append((raw, width, np.full(len(raw), -1, np.int32)))
+        node = np.concatenate([x[0] for x in found])
+        width_ = np.concatenate([np.full(len(x[0]), x[1], np.int32) for x in found])
+        piece_ = np.concatenate([x[2] for x in found]).astype(np.int32)
+        order = np.lexsort((-width_, node))
+        node, width_, piece_ = node[order], width_[order], piece_[order]
+        count = np.bincount(node, minlength=n + 1).astype(np.int32)
+        first = np.cumsum(count, dtype=np.int64) - count
+        back = node - width_
+        weight = np.where(piece_ >= 0, self.by_id[piece_], self.rare**width_)
+        forward, power = [0.0] * (n + 1), [0] * (n + 1)
+        forward[0], now, j, total = 1.0, 0, 0, 0.0
+        for at, to, w in zip(node.tolist(), back.tolist(), weight.tolist(), strict=True):
+            if at != j:
+                if total and not 1e-100 < total < 1e100:
+                    now += math.frexp(total)[1]
+                j, total = at, 0.0
+            # A node's sum is forward * 2 ** power; powers of nodes in reach differ by little.
+            total += w * (forward[to] if power[to] == now else math.ldexp(forward[to], power[to] - now))
+            forward[at], power[at] = total, now
+        f, e = np.array(forward), np.array(power)
+        share = np.ldexp(f[back] * weight, e[back] - e[node]) / f[node]
+        run = np.cumsum(share)
+        full = np.flatnonzero(count)
+        run = run - np.repeat(run[first[full]] - share[first[full]], count[full])
+        run[first[full] + count[full] - 1] = 2.0
+        return first, count, back, width_, piece_, run
 
     def sample(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Backward sampling of all segments of a block: ids at the bytes where pieces begin, -1 elsewhere.
@@ -269,7 +280,7 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
 def sampled_documents(lattice: Lattice, keys: np.ndarray, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
     """Row, sampled ids, and whether they decode to the row's text; row after row."""
     held, base, fine = [], 0, True
-    for lo, hi, part, s, e, first, more in _blocks(data, off):
+    for lo, hi, part, s, e, first, more in _blocks(lattice.pieces, data, off):
         count = np.diff(first)
         row = np.repeat(np.arange(lo, hi), count)
         begin = s[np.minimum(first[:-1], max(0, len(s) - 1))] if len(s) else np.zeros(hi - lo, np.int64)
@@ -290,11 +301,11 @@ def sampled_documents(lattice: Lattice, keys: np.ndarray, data: np.ndarray, off:
             yield lo + i, own, same or np.array_equal(lattice.decode_bytes(own), part[s[first[i]] if count[i] else 0 : e[first[i + 1] - 1] if count[i] else 0])
 
 
-def _blocks(data: np.ndarray, off: np.ndarray):
+def _blocks(pieces: PieceBpe, data: np.ndarray, off: np.ndarray):
     """Row range, bytes, segment starts, ends, first segment of each row, and whether the last row goes on."""
-    data, off = PieceBpe.prepare(data, off)
-    for lo, hi, part, o, more in PieceBpe.parts(data, off):
-        s, e, first = PieceBpe.segments(part, o)
+    data, off = pieces.prepare(data, off)
+    for lo, hi, part, o, more in pieces.parts(data, off):
+        s, e, first = pieces.segments(part, o)
         yield lo, hi, part, s, e, first, more
 
 

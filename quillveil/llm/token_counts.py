@@ -1,19 +1,22 @@
-"""Exact token counts of every prefix, by dynamic programming.
+"""Exact token counts of every prefix, by dynamic programming, stored and asked.
 
-`PrefixCounter.segment_prefixes` is the programme: the encoding of a prefix that
+`PrefixCounter.prefix_steps` is the programme: the encoding of a prefix that
 ends in piece t is the encoding of the prefix before t, followed by t, and t is
 the only piece ending there that merges leave alone next to the one before it.
 So count[i] = count[i - len(t)] + 1, with one look-back per piece that ends at
-i. Merges never cross a segment's start (see `tokenizing.PieceBpe`), so over
-segments the programme is a running sum: count[segment end] = count[segment
-start] + tokens(segment), with tokens(segment) worked out once per distinct
-segment. `prefix_table` stores that running sum; with the programme inside one
-segment it gives the count at any prefix, or the longest prefix within a
-budget, without encoding the text again.
+i. Merges never cross a segment's start (see `tokenizing.PieceBpe`), so the
+programme runs once per distinct segment, and the counts of a text are those of
+its segments, added up.
+
+`prefix_tables` stores the count at every prefix of every text: one byte per
+byte of text, the step from the prefix before (at the first byte of a
+character; merges make some steps negative), compressed. `count_at`,
+`longest_within` and `ask_tables` answer from that table alone, without text,
+model or encoder. `count_tokens` writes the tables and asks them.
 
 Defined results: a null text counts as empty; an empty text has no tokens;
-texts of any length are processed in blocks; repeated rows and ids give a row
-each; further columns of the input are ignored.
+texts of any length are worked on in blocks; repeated rows and ids give a row
+each; an empty table gives no row; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +25,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.bytesops import bounded_batches, buffers, tidy
+from quillveil.llm.bytesops import BLOCK, WordTable, bounded_batches, buffers, tidy
 from quillveil.llm.tokenizing import PieceBpe, cached
+from quillveil.session import materialize
 
 LIMIT = 4096
+_OUT_BYTES = 4 << 20
 
 
 class PrefixCounter:
-    """Prefix counts of single texts, for one model."""
+    """Prefix counts of texts, for one model."""
 
     def __init__(self, path: str):
         self.pieces = cached(PieceBpe, path)
         self.sp = self.pieces.sp
         self.ids = {self.sp.id_to_piece(i): i for i in range(self.sp.get_piece_size()) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))}
         self.longest = max(map(len, self.ids))
+        if self.longest > 120:
+            raise ValueError("steps of this model do not fit into a byte")
         self.sound: dict[tuple[str, str], bool] = {}
+        self.table = WordTable(lambda segments: [self.prefix_steps(x) for x in segments], kind=np.int8)
 
     def _stable(self, left: str, right: str) -> bool:
         """Whether merges leave these two pieces apart when they stand side by side."""
@@ -52,95 +61,133 @@ class PrefixCounter:
             self.sound[key] = ids == ([self.ids[left]] if left else []) + [self.ids[right]]
         return self.sound[key]
 
-    def segment_prefixes(self, segment: str) -> list[int]:
-        """Tokens of each prefix of a segment, by characters; the first is 0 for the empty prefix."""
+    def prefix_steps(self, segment: str) -> bytes:
+        """For each byte of a segment the step (signed) of the prefix count with its character, at the first byte of that."""
         text = segment.replace(" ", PieceBpe.BLANK)
-        counts, last = [0], [""]
-        for i in range(1, len(text) + 1):
+        counts, last, steps = [0], [""], bytearray()  # of the last prefixes that a piece can reach back to
+        for i, c in enumerate(text, 1):
             for k in range(min(self.longest, i), 0, -1):
                 piece = text[i - k : i]
-                if piece in self.ids and self._stable(last[i - k], piece):
-                    counts.append(counts[i - k] + 1)
-                    last.append(piece)
+                if piece in self.ids and self._stable(last[-k], piece):
+                    now, end = counts[-k] + 1, piece
                     break
             else:
                 # No piece: the character falls back to bytes, which no merge crosses.
-                counts.append(counts[i - 1] + len(text[i - 1].encode("utf-8", "replace")))
-                last.append("")
-        return counts
-
-    def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Byte offsets of segment ends and the token counts there, both from 0."""
+                now, end = counts[-1] + len(c.encode("utf-8", "replace")), ""
+            steps.append((now - counts[-1]) & 0xFF)
+            steps += bytes(len(segment[i - 1].encode("utf-8", "replace")) - 1)
+            counts.append(now)
+            last.append(end)
+            if len(counts) > 4 * self.longest:
+                counts, last = counts[-self.longest :], last[-self.longest :]
+        return bytes(steps)
+
+    def steps(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and the steps at all its bytes, row after row."""
+        held: list[np.ndarray] = []
+        for lo, hi, _, _, _, first, at, more in self.pieces.blocks(data, off, self.table):
+            steps, lens = self.table.gather(at)
+            if more or held:
+                held.append(steps)
+                if not more:
+                    yield lo, _without_dummy(np.concatenate(held))
+                    held = []
+                continue
+            ends = np.concatenate(([0], np.cumsum(lens)))[first].tolist()
+            for i in range(hi - lo):
+                yield lo + i, _without_dummy(steps[ends[i] : ends[i + 1]])
+
+    def stored(self, text: str | None) -> bytes:
+        """The table of one text."""
         data, off = buffers(pa.array([text], pa.large_string()))
-        ends, counts, base_b, base_c = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0, 0
-        for _, _, part, _, e, _, at, _ in self.pieces.blocks(data, off):
-            lens = self.pieces.table.length[at].astype(np.int64)
-            ends.append(base_b + e - 1)  # without the dummy blank
-            counts.append(base_c + np.cumsum(lens))
-            base_b, base_c = base_b + len(part), base_c + int(lens.sum())
-        return np.concatenate(ends), np.concatenate(counts)
-
-    def count_at(self, text: str, table: tuple[np.ndarray, np.ndarray], n_chars: int) -> int:
-        """Tokens of the first `n_chars` characters of a text whose table this is."""
-        if n_chars <= 0 or not text:
-            return 0
-        raw = len(text[:n_chars].encode())
-        ends, counts = table
-        k = int(np.searchsorted(ends, raw, "right")) - 1
-        if ends[k] == raw:
-            return int(counts[k])
-        rest = text.encode()[ends[k] : raw].decode()
-        return int(counts[k]) + self.segment_prefixes((" " if k == 0 else "") + rest)[-1]
-
-    def longest_within(self, text: str, table: tuple[np.ndarray, np.ndarray], budget: int) -> int:
-        """Characters of the longest prefix whose own encoding has at most `budget` tokens."""
-        ends, counts = table
-        if budget < 0 or not text:
-            return 0
-        raw = text.encode()
-        # Counts at segment ends never fall, and inside a segment none exceeds that before it plus its bytes.
-        k = int(np.searchsorted(counts, budget, "right")) - 1
-        best = len(raw[: ends[k]].decode())
-        if k + 1 < len(ends):
-            inside = self.segment_prefixes((" " if k == 0 else "") + raw[ends[k] : ends[k + 1]].decode())
-            inside = inside[1:] if k == 0 else inside
-            fits = [i for i, c in enumerate(inside) if counts[k] + c <= budget and (i or k)]
-            best += max(fits, default=0)
-        return best
-
-
-def _per_row(pieces: PieceBpe, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Token count at the last prefix of every row."""
-    out = np.zeros(len(off) - 1, np.int64)
-    for lo, hi, _, _, _, first, at, _ in pieces.blocks(data, off):
-        sums = np.concatenate(([0], np.cumsum(pieces.table.length[at], dtype=np.int64)))
-        out[lo:hi] += np.diff(sums[first])
+        return _stored(next(s for _, s in self.steps(data, off)))
+
+
+def _without_dummy(steps: np.ndarray) -> np.ndarray:
+    """Steps of the text itself: that of the blank before it comes with its first character."""
+    if not len(steps):
+        return steps
+    out = steps[1:].copy()
+    out[0] += steps[0]
     return out
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_bytes, n_tokens (count at the last prefix) and over_limit."""
+def _stored(steps: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes())
+
+
+def _counts(table: bytes) -> Iterator[np.ndarray]:
+    """Counts at every byte of a stored table, in blocks."""
+    steps, now = np.frombuffer(zstandard.ZstdDecompressor().decompress(table), np.int8), 0
+    for lo in range(0, len(steps), BLOCK):
+        counts = np.cumsum(steps[lo : lo + BLOCK], dtype=np.int64) + now
+        now = int(counts[-1])
+        yield counts
+
+
+def count_at(table: bytes, n_bytes: int) -> int:
+    """Tokens of the prefix of so many bytes (inside a character: with that character)."""
+    last = 0
+    for counts in _counts(table):
+        if n_bytes <= 0:
+            break
+        last = int(counts[min(n_bytes, len(counts)) - 1])
+        n_bytes -= len(counts)
+    return last
+
+
+def longest_within(table: bytes, budget: int) -> int:
+    """Bytes of the longest prefix whose own encoding has at most `budget` tokens."""
+    best, base = 0, 0
+    for counts in _counts(table):
+        fits = np.flatnonzero(counts <= budget)
+        if len(fits):
+            best = base + int(fits[-1]) + 1
+        base += len(counts)
+    return best
+
+
+def prefix_tables(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tables to store: id, n_bytes, prefix_steps (compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = cached(PieceBpe, model_path)
+        counter = cached(PrefixCounter, model_path)
+
+        def out(b: pa.RecordBatch, size: np.ndarray, first: int, held: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), pa.array(size[first : first + len(held)]), pa.array(held, pa.binary())], names=[id_col, "n_bytes", "prefix_steps"])
+
         for b in batches:
             data, off = buffers(b.column(1))
-            n = _per_row(pieces, data, off)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            size, held, first, n = np.diff(off), [], 0, 0
+            for i, steps in counter.steps(data, off):
+                held.append(_stored(steps))
+                n += len(held[-1])
+                if n > _OUT_BYTES:
+                    yield out(b, size, first, held)
+                    held, first, n = [], i + 1, 0
+            if held:
+                yield out(b, size, first, held)
 
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(tidy(run, True), f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return source.mapInArrow(tidy(run, True), f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, prefix_steps binary")
 
 
-def prefix_tables(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored tables: per document the byte offsets of segment ends and the token counts there, both from 0."""
+def ask_tables(tables: DataFrame, limit: int = LIMIT, id_col: str = "doc_id") -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit, limit_bytes (of the longest prefix within the limit), half_tokens (of the first half of its bytes): from the tables alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model_path)
         for b in batches:
-            made = [counter.table(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0].tolist() for m in made], pa.list_(pa.int64())), pa.array([m[1].tolist() for m in made], pa.list_(pa.int64()))], names=[id_col, "prefix_bytes", "prefix_tokens"])
+            size, rows = b.column(1).to_numpy(), []
+            for n, value in zip(size.tolist(), b.column(2), strict=True):
+                table = value.as_py()
+                rows.append((count_at(table, n), longest_within(table, limit), count_at(table, n // 2)))
+            total, within, half = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(total > limit), pa.array(within), pa.array(half)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "limit_bytes", "half_tokens"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, prefix_bytes array<bigint>, prefix_tokens array<bigint>")
+    return tables.select(id_col, "n_bytes", "prefix_steps").mapInArrow(tidy(run, True), f"{id_col} {dict(tables.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean, limit_bytes bigint, half_tokens bigint")
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, from tables stored in the shared folder: see `ask_tables`."""
+    return ask_tables(materialize(prefix_tables(docs, model_path, id_col, text_col), "prefix-tables"), limit, id_col)

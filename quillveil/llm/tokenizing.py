@@ -114,14 +114,37 @@ class WordBpe:
                 yield lo + i, ids[at[i] : at[i + 1]]
 
 
+def _pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs of characters in a bit set of 2**22."""
+    return (((a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and code points of the characters of UTF-8 bytes."""
+    if not (data & 0x80).any():
+        return np.arange(len(data)), data.astype(np.uint32)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[at]
+    more = (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    code = first & np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint8)[more]
+    code = code.astype(np.uint32)
+    for k in (1, 2, 3):
+        long = np.flatnonzero(more >= k)
+        code[long] = (code[long] << np.uint32(6)) | (data[np.minimum(at[long] + k, len(data) - 1)] & 0x3F)
+    return at, code
+
+
 class PieceBpe:
     """SentencePiece BPE model with byte fallback and no normalisation.
 
     A blank becomes U+2581, with one more put before the text. No piece holds
     U+2581 after another character, and none holds a line feed, so merges never
-    cross the start of a run of blanks or the two sides of a line feed: the ids
-    of a text are those of the segments between these places. The model's
-    pieces are checked for both facts when it is loaded.
+    cross the start of a run of blanks or the two sides of a line feed; nor do
+    they cross two neighbouring characters that no piece holds side by side. So
+    the ids of a text are those of the segments between these places, and
+    segments are short in any script. The first two facts are checked when the
+    model is loaded; the pairs are looked up in a bit set, where a clash only
+    leaves a segment whole.
     """
 
     BLANK = "▁"
@@ -135,6 +158,9 @@ class PieceBpe:
             raise ValueError("pieces of this model cross blanks or lines")
         self.head = sp.encode("\nx")[:-1]
         self.table = WordTable(self._encode)
+        pairs = np.array(sorted({(32 if a == self.BLANK else ord(a), 32 if b == self.BLANK else ord(b)) for p in pieces for a, b in zip(p, p[1:])}), np.uint32).reshape(-1, 2)
+        self.together = np.zeros(1 << 22, bool)
+        self.together[_pair_slots(pairs[:, 0], pairs[:, 1])] = True
 
     def _encode(self, segments: list[str]) -> list[list[int]]:
         # A line feed in front stands in for the dummy blank, which is dropped with it.
@@ -157,38 +183,47 @@ class PieceBpe:
                 blank[mark + k] = True
         return blank
 
-    @staticmethod
-    def parts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-        """`text_parts`, with long texts cut at line feeds and where a run of blanks starts; only a single longer segment makes a longer part."""
+    def _opens(self, data: np.ndarray) -> np.ndarray:
+        """Where segments begin, from the bytes alone."""
+        blank = self._blanks(data)
+        line = data == 10
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        opens |= line
+        opens[1:] |= line[:-1]
+        at, code = _characters(data)
+        if len(at) > 1:
+            code[code == ord(self.BLANK)] = 32
+            opens[at[1:][~self.together[_pair_slots(code[:-1], code[1:])]]] = True
+        return opens
+
+    def parts(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        """`text_parts`, with long texts cut where segments begin; only a single longer segment makes a longer part."""
 
         def is_cut(x: np.ndarray) -> np.ndarray:
-            blank = PieceBpe._blanks(x)
-            starts = blank.copy()
-            starts[1:] &= ~blank[:-1]
-            starts[:3] = False  # the character before may lie outside
-            return starts | (x == 10)
+            lead = np.flatnonzero((x[:4] & 0xC0) != 0x80)
+            skip = int(lead[0]) if len(lead) else 0  # the rest of a character
+            opens = np.zeros(len(x), bool)
+            opens[skip:] = self._opens(x[skip:])
+            opens[: skip + 3] = False  # the character before may lie outside
+            return opens
 
         return text_parts(data, off, is_cut)
 
-    @staticmethod
-    def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of segments, and the first segment of each row (with one past the end)."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-        blank = PieceBpe._blanks(data)
-        line = data == 10
-        opens = blank.copy()
-        opens[1:] &= ~blank[:-1]
-        opens |= line
-        opens[1:] |= line[:-1]
+        opens = self._opens(data)
         opens[off[:-1][off[:-1] < n]] = True
         starts = np.flatnonzero(opens)
         return starts, np.append(starts[1:], n), np.searchsorted(starts, off)
 
-    def blocks(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
-        """Row range, block bytes, segment starts, ends, first segment of each row, table entries, whether the last row goes on."""
+    def blocks(self, data: np.ndarray, off: np.ndarray, table: WordTable | None = None) -> Iterator[tuple]:
+        """Row range, block bytes, segment starts, ends, first segment of each row, entries of the table, whether the last row goes on."""
+        table = table or self.table
         data, off = self.prepare(data, off)
         for lo, hi, part, o, more in self.parts(data, off):
             s, e, first = self.segments(part, o)
-            yield lo, hi, part, s, e, first, self.table.entries(part, s, e, span_hashes(part, s, e)), more
+            yield lo, hi, part, s, e, first, table.entries(part, s, e, span_hashes(part, s, e)), more

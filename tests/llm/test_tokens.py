@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from quillveil.llm.packing import TIERS, Packer, pack_documents
 from quillveil.llm.piece_sampling import decode_pieces, sample_pieces
-from quillveil.llm.token_counts import PrefixCounter, count_tokens, prefix_tables
+from quillveil.llm.token_counts import PrefixCounter, ask_tables, count_at, count_tokens, longest_within, prefix_tables
 from quillveil.llm.token_files import read_ids, token_files, write_ids
 
 
@@ -36,7 +36,15 @@ def crc(ids):
 def test_counts(docs, rows, odd, none, tokenizer, pieces):
     path = tokenizer("piece_bpe_32k.model")
     for df, want in ((docs, rows), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
-        got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(df, path).collect()}
+        made = count_tokens(df, path).collect()
+        texts = dict(want)
+        for r in made:
+            raw = (texts[r.doc_id] or "").encode()
+            assert len(pieces.encode(raw[: r.limit_bytes].decode())) <= 4096 and (r.limit_bytes == len(raw)) == (not r.over_limit)
+            half = len(raw[: len(raw) // 2].decode("utf-8", "ignore"))
+            half += len((texts[r.doc_id] or "")[:half].encode()) < len(raw) // 2  # the character that the middle cuts counts
+            assert r.half_tokens == len(pieces.encode((texts[r.doc_id] or "")[:half]))
+        got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in made}
         assert got == {i: (len((t or "").encode()), len(pieces.encode(t or "")), len(pieces.encode(t or "")) > 4096) for i, t in want}
     assert count_tokens(none, path).count() == 0
 
@@ -73,23 +81,72 @@ def test_blocks_of_more_words_than_the_table_holds():
         assert ids.tolist() == list(range(n))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=40))
+TEXT = st.one_of(st.text(max_size=40), st.text(alphabet="ab e\u2581\n中国的é😀1,", max_size=60))
+
+
+@settings(max_examples=120, deadline=None)
+@given(TEXT)
 def test_every_prefix(text):
+    """The stored table has the library's count at every prefix, and no encoder is asked when it answers."""
     import public_tokenizers
 
     counter = test_every_prefix.__dict__.setdefault("counter", PrefixCounter(str(public_tokenizers.path("piece_bpe_32k.model"))))
-    table = counter.table(text)
+    table = counter.stored(text)
     want = [len(counter.sp.encode(text[:i])) for i in range(len(text) + 1)]
-    assert [counter.count_at(text, table, i) for i in range(len(text) + 1)] == want
-    for budget in range(0, max(want) + 2):
-        assert counter.longest_within(text, table, budget) == max(i for i, n in enumerate(want) if n <= budget)
-
-
-def test_prefix_tables(odd, tokenizer, pieces):
-    for r in prefix_tables(odd, tokenizer("piece_bpe_32k.model")).collect():
-        assert r.prefix_bytes[0] == r.prefix_tokens[0] == 0
-        assert len(r.prefix_bytes) == len(r.prefix_tokens)
+    size = [len(text[:i].encode()) for i in range(len(text) + 1)]
+    sp, counter.sp, counter.pieces.sp = counter.sp, None, None  # any call of the encoder would fail
+    try:
+        assert [count_at(table, n) for n in size] == want
+        for budget in range(0, max(want) + 2):
+            assert longest_within(table, budget) == max(n for n, c in zip(size, want) if c <= budget)
+    finally:
+        counter.sp = counter.pieces.sp = sp
+
+
+def test_prefixes_of_documents(rows, tokenizer, pieces):
+    import random
+
+    counter, rng = PrefixCounter(tokenizer("piece_bpe_32k.model")), random.Random(4)
+    for _, text in rng.sample([r for r in rows if r[1]], 25):
+        table = counter.stored(text)
+        for i in [rng.randrange(len(text) + 1) for _ in range(8)]:
+            assert count_at(table, len(text[:i].encode())) == len(pieces.encode(text[:i]))
+
+
+def test_scripts_without_blanks(tokenizer, pieces):
+    """Segments are short in any script; long runs of letters are worked on as they are."""
+    import random
+    import time
+
+    rng, counter = random.Random(5), PrefixCounter(tokenizer("piece_bpe_32k.model"))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(330_000))
+    code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    for text in (han, code, "x" * 5000, "ab" * 3000):
+        began = time.process_time()
+        table = counter.stored(text)
+        assert time.process_time() - began < 0.9 * max(1.0, len(text.encode()) / 1e6)
+        assert count_at(table, len(text.encode())) == len(pieces.encode(text))
+
+
+def test_tables_are_stored(spark, odd, tokenizer, tmp_path):
+    prefix_tables(odd, tokenizer("piece_bpe_32k.model")).write.parquet(f"{tmp_path}/t")
+    tables = spark.read.parquet(f"{tmp_path}/t")
+    got = sorted(map(tuple, ask_tables(tables, 3).collect()))
+    assert got == sorted(map(tuple, count_tokens(odd, tokenizer("piece_bpe_32k.model"), 3).collect()))
+
+
+def test_words_with_one_hash():
+    """Words whose hashes clash keep entries of their own."""
+    from quillveil.llm.bytesops import WordTable
+
+    words = [b"a", b"b", b"a", b"a word of more than sixteen bytes", b"a word of more than 16 bytes, too", b"a word of more-than sixteen bytes", b"b"]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = np.concatenate(([0], ends[:-1]))
+    table = WordTable(lambda found: [list(w.encode()) for w in found])
+    for _ in range(2):
+        at = table.entries(data, starts, ends, np.zeros(len(words), np.uint64))
+        ids, lens = table.gather(at)
+        assert bytes(ids.astype(np.uint8)) == b"".join(words) and lens.tolist() == [len(w) for w in words]
 
 
 def check_files(df, word_ids, tokenizer):
