@@ -4,20 +4,26 @@ Unit vectors with cosine of at least c are within eps = sqrt(2 - 2c) of each
 other, and so are their projections on any orthonormal directions. Vectors are
 projected on leading principal directions, given grid cells of side eps, and
 sorted by cells in lexicographic order (the epsilon grid order). The sorted
-sequence is cut into blocks of bounded size, whatever a label's share. Only
-block pairs whose bounding boxes come within eps are joined, found by an
-equi-join on the leading cell; inside a pair, sequence intervals are halved
-recursively, distant halves are skipped, and leaves are compared in double
-precision.
+sequence is cut into blocks of bounded size, whatever a label's share, and
+neighbouring blocks into intervals, FAN at a time, up to one interval per label.
+Pairs of intervals are joined recursively from the top: a pair whose bounding
+boxes are farther apart than eps is skipped with all that it holds, any other is
+replaced by the pairs of its parts, level by level, down to blocks. No key
+gathers the blocks of a label; the work is that of the pairs that are near.
+Inside a pair of blocks the same recursion halves intervals down to leaves, which
+are compared in double precision.
 
 The directions are fitted on a bounded sample (`FIT_ROWS` vectors); they
 decide what can be skipped, never what is linked. Equal vectors of one
-label are one class, compared once and counted with their number.
+label are one class, known by a 128-bit key, compared once and counted with
+their number.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a
 non-finite component, and vectors without label, link with nothing; vectors of
 different length never link; rows that repeat an id are vectors of their own
-with that id; an empty table gives no row; further columns are ignored.
+with that id; vectors at the threshold within rounding are decided by their raw
+components; equal vectors share component and links; an empty table gives no
+row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +45,13 @@ THRESHOLD = 0.98
 FIT_ROWS = 2000
 DIRECTIONS = 8
 BLOCK_ROWS = 512
+FAN = 16
 _LEAF = 64
 _SLACK = 1e-9
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, key, vec): key and raw doubles are null where a vector cannot link."""
+    """(vec_id, label, key, vec): key (of label and vector) and raw doubles are null where a vector cannot link."""
     for b in batches:
         keys, raws = [], []
         for value, label in zip(b.column(1), b.column(2), strict=True):
@@ -53,7 +60,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v = value.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
                 v = v if np.isfinite(v).all() and v.any() else None
             raw = None if v is None else v.astype("<f8").tobytes()
-            keys.append(raw and hashlib.blake2b(raw, digest_size=16).digest())
+            keys.append(raw and hashlib.blake2b(raw, digest_size=16, person=hashlib.blake2b(repr(label.as_py()).encode(), digest_size=16).digest()).digest())
             raws.append(raw)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "key", "vec"])
 
@@ -65,7 +72,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def fit_directions(classes: DataFrame, rows: int = FIT_ROWS, directions: int = DIRECTIONS) -> dict[int, np.ndarray]:
     """Leading principal directions by vector length, from a bounded sample by hash order."""
-    sample = classes.select("rep", "vec").orderBy(F.xxhash64("rep", "key"), "rep").limit(rows).collect()
+    sample = classes.select("vec").orderBy(F.xxhash64("key"), "key").limit(rows).collect()
     out: dict[int, np.ndarray] = {}
     for dim in {len(r.vec) // 8 for r in sample}:
         x = _unit(np.stack([np.frombuffer(r.vec, "<f8") for r in sample if len(r.vec) == 8 * dim]))
@@ -124,6 +131,37 @@ def _roots(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.
         la, lb = na, nb
 
 
+def near_blocks(blocks: DataFrame, reach: float) -> DataFrame:
+    """Pairs (a, b), a <= b, of blocks of one label and length whose boxes come within reach.
+
+    blocks: block (its task << 32, and its number there), label, dim, lo, hi
+    """
+    part, number = F.shiftright("block", 32), F.col("block").bitwiseAND((1 << 32) - 1)
+    top = blocks.agg(F.max(part).alias("part"), F.max(number).alias("number")).first()
+    if top.part is None:
+        return blocks.select(F.col("block").alias("a"), F.col("block").alias("b"))
+    boxes = blocks.select("label", "dim", part.alias("part"), number.alias("number"), *[F.col(side)[j].alias(f"{side}{j}") for side in ("lo", "hi") for j in range(DIRECTIONS)])
+    # Levels of intervals, blocks first: numbers shrink to one per task, then tasks to one.
+    levels, part_now, number_now = [boxes], top.part, top.number
+    bounds = [F.min(f"lo{j}").alias(f"lo{j}") for j in range(DIRECTIONS)] + [F.max(f"hi{j}").alias(f"hi{j}") for j in range(DIRECTIONS)]
+    shrink = FAN.bit_length() - 1
+    while part_now or number_now:
+        below = levels[-1]
+        up_part, up_number = (F.shiftright("part", shrink), F.col("number")) if not number_now else (F.col("part"), F.shiftright("number", shrink))
+        part_now, number_now = (part_now >> shrink, number_now) if not number_now else (part_now, number_now >> shrink)
+        levels[-1] = materialize(below.withColumns({"up_part": up_part, "up_number": up_number}), "ego-level")
+        levels.append(levels[-1].groupBy("label", "dim", F.col("up_part").alias("part"), F.col("up_number").alias("number")).agg(*bounds))
+    place = lambda p, n: F.shiftleft(F.col(p).cast("long"), 32).bitwiseOR(F.col(n).cast("long"))
+    pairs = levels[-1].select("label", "dim", place("part", "number").alias("a"), place("part", "number").alias("b"))
+    for level in reversed(levels[:-1]):
+        side = lambda x: level.select("label", "dim", place("up_part", "up_number").alias(x), place("part", "number").alias(f"{x}_"), *[F.col(f"{e}{j}").alias(f"{x}_{e}{j}") for e in ("lo", "hi") for j in range(DIRECTIONS)])  # noqa: E731, B023
+        gaps = [F.greatest(F.col(f"a_lo{j}") - F.col(f"b_hi{j}"), F.col(f"b_lo{j}") - F.col(f"a_hi{j}"), F.lit(0.0)) for j in range(DIRECTIONS)]
+        near = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) <= reach * reach
+        both = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
+        pairs = materialize(both.filter((F.col("a_") <= F.col("b_")) & near).select("label", "dim", F.col("a_").alias("a"), F.col("b_").alias("b")), "ego-pairs")
+    return pairs.select("a", "b")
+
+
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per vector of (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     bounded_batches(vectors.sparkSession)
@@ -131,23 +169,24 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
     label_type = dict(vectors.dtypes)["label"]
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label").mapInArrow(_classes, f"vec_id bigint, label {label_type}, key binary, vec binary")
     rows = materialize(rows, "ego-rows")
-    classes = rows.filter("key IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     classes = materialize(classes, "ego-classes")
     bases = fit_directions(classes)
     k = DIRECTIONS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [np.frombuffer(x.as_buffer(), "<f8") for x in b.column(4)]
+            raw = [np.frombuffer(x.as_buffer(), "<f8") for x in b.column(3)]
             cells = np.zeros((len(raw), k), np.int64)
             for dim in {len(v) for v in raw}:
                 at = [i for i, v in enumerate(raw) if len(v) == dim]
                 cells[at] = np.floor(_project(_unit(np.stack([raw[i] for i in at])), bases, k) / eps) if eps else 0
-            extra = [pa.array([len(v) for v in raw], pa.int32()), *[pa.array(cells[:, j]) for j in range(3)]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=["label", "key", "rep", "copies", "vec", "dim", "c0", "c1", "c2"])
+            extra = [pa.array([len(v) for v in raw], pa.int32()), *[pa.array(cells[:, j]) for j in range(k)]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=["label", "key", "copies", "vec", "dim", *[f"c{j}" for j in range(k)]])
 
-    placed = classes.select("label", "key", "rep", "copies", "vec").mapInArrow(place, f"label {label_type}, key binary, rep bigint, copies bigint, vec binary, dim int, c0 bigint, c1 bigint, c2 bigint")
-    order = ("label", "dim", "c0", "c1", "c2", "key")
+    cells = [f"c{j}" for j in range(k)]
+    placed = classes.select("label", "key", "copies", "vec").mapInArrow(place, f"label {label_type}, key binary, copies bigint, vec binary, dim int, " + ", ".join(f"{c} bigint" for c in cells))
+    order = ("label", "dim", *cells, "key")
     parts = max(2, partitions_for(vectors))
     ordered = materialize(placed, "ego-placed").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
@@ -161,9 +200,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
             nonlocal made
             raw = np.stack([np.frombuffer(h[2], "<f8") for h in held])
             lo, hi = _boxes(_project(_unit(raw), bases, k))
-            made += 1
-            values = [[base + made], [held[0][0]], [held[0][1]], [lo.tolist()], [hi.tolist()], [np.array([h[3] for h in held], "<i8").tobytes()], [np.array([h[4] for h in held], "<i8").tobytes()], [raw.astype("<f8").tobytes()]]
+            values = [[base + made], [held[0][0]], [held[0][1]], [lo.tolist()], [hi.tolist()], [b"".join(h[3] for h in held)], [np.array([h[4] for h in held], "<i8").tobytes()], [raw.astype("<f8").tobytes()]]
             types = [pa.int64(), label_arrow, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+            made += 1
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["block", "label", "dim", "lo", "hi", "ids", "copies", "vecs"])
 
@@ -176,17 +215,10 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
         if held:
             yield block()
 
-    blocks = ordered.select("label", "dim", "vec", "rep", "copies").mapInArrow(cut, f"block bigint, label {label_type}, dim int, lo array<double>, hi array<double>, ids binary, copies binary, vecs binary")
+    blocks = ordered.select("label", "dim", "vec", "key", "copies").mapInArrow(cut, f"block bigint, label {label_type}, dim int, lo array<double>, hi array<double>, ids binary, copies binary, vecs binary")
     blocks = materialize(blocks, "ego-blocks")
 
-    reach = eps + _SLACK
-    boxes = blocks.select("block", "label", "dim", "lo", "hi")
-    cell = lambda c, by: F.floor((c + by) / (reach or 1.0)).cast("long")
-    left = boxes.select(F.col("block").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell(F.col("lo")[0], -reach), cell(F.col("hi")[0], reach))).alias("_cell"))
-    right = boxes.select(F.col("block").alias("b"), "label", "dim", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(cell(F.col("lo")[0], 0), cell(F.col("hi")[0], 0))).alias("_cell"))
-    gaps = F.zip_with(F.zip_with("alo", "bhi", lambda x, y: x - y), F.zip_with("blo", "ahi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= reach * reach
-    pairs = materialize(left.join(right, ["label", "dim", "_cell"]).filter(F.col("a") <= F.col("b")).filter(near).select("a", "b").distinct(), "ego-pairs")
+    pairs = near_blocks(blocks.select("block", "label", "dim", "lo", "hi"), eps + _SLACK)
     side = lambda name: blocks.select(F.col("block").alias(name), F.col("dim").alias(f"dim_{name}"), F.col("ids").alias(f"ids_{name}"), F.col("copies").alias(f"n_{name}"), F.col("vecs").alias(f"v_{name}"))
     work = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "dim_a", "ids_a", "n_a", "v_a", "ids_b", "n_b", "v_b")
 
@@ -194,27 +226,32 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b, dim, ids_a, n_a, v_a, ids_b, n_b, v_b = (batch.column(j)[i].as_py() for j in range(9))
-                ids_a, n_a, ids_b, n_b = (np.frombuffer(x, "<i8") for x in (ids_a, n_a, ids_b, n_b))
+                n_a, n_b = np.frombuffer(n_a, "<i8"), np.frombuffer(n_b, "<i8")
+                ids_a, ids_b = ([x[16 * j : 16 * j + 16] for j in range(len(x) // 16)] for x in (ids_a, ids_b))
+                names = sorted({*ids_a, *ids_b})
+                number = {x: j for j, x in enumerate(names)}
                 ra, rb = np.frombuffer(v_a, "<f8").reshape(-1, dim), np.frombuffer(v_b, "<f8").reshape(-1, dim)
                 ua, ub = _unit(ra), _unit(rb)
                 links = np.zeros((len(ra), len(rb)), bool)
                 _ego_join(_project(ua, bases, k), _project(ub, bases, k), ua, ub, ra, rb, threshold, eps, links, 0, 0, a == b)
                 if a == b:
                     np.fill_diagonal(links, False)
-                la, lb = _roots(links, ids_a, ids_b)
+                la, lb = _roots(links, *[np.array([number[x] for x in ids], np.int64) for ids in (ids_a, ids_b)])
                 out = [(ids_a, links @ n_a if a == b else links @ n_b, la)] + ([] if a == b else [(ids_b, links.T @ n_a, lb)])
                 for ids, count, root in out:
                     at = np.flatnonzero(count)
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(count[at].astype(np.int64)), pa.array(root[at])], names=["rep", "links", "root"])
-
-    found = materialize(work.mapInArrow(join, "rep bigint, links bigint, root bigint"), "ego-links")
-    parts_of = connected_components(found, "rep", "root")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("_links"))
-    verdict = classes.select("label", "key", "rep", "copies").join(counts, "rep", "left").join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
-    verdict = materialize(verdict.select("label", "key", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_component")), "ego-verdict")
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in at], pa.binary()), pa.array(count[at].astype(np.int64)), pa.array([names[j] for j in root[at]], pa.binary())], names=["key", "links", "root"])
+
+    found = materialize(work.mapInArrow(join, "key binary, links bigint, root binary"), "ego-links")
+    parts_of = connected_components(found, "key", "root").select(F.col("node").alias("key"), F.col("component").alias("root"))
+    counts = found.groupBy("key").agg(F.sum("links").alias("_links"))
+    linked = materialize(counts.join(parts_of, "key").join(classes.select("key", "rep"), "key"), "ego-linked")
+    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("_component")), "root").select("key", "_links", "_component")
+    verdict = classes.select("key", "rep", "copies").join(linked, "key", "left")
+    verdict = materialize(verdict.select("key", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("_component", "rep").alias("_component")), "ego-verdict")
     component = F.coalesce("_component", "vec_id")
-    return rows.select("vec_id", "label", "key").join(verdict, ["label", "key"], "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("vec_id", "key").join(verdict, "key", "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 #: DuckDB SQL for `link_vectors` of an embeddings table of distinct ids, by comparison of all pairs of a label.

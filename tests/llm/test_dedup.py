@@ -1,5 +1,6 @@
 """Repeated strings, n-gram joins, vectors and archives against brute force."""
 
+import gzip
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import quillveil.llm.ngram_join as N
 import quillveil.llm.suffix_dedup as S
+from quillveil.llm import warc
 from quillveil.llm.components import connected_components
 from quillveil.llm.embedding_dedup import link_vectors
 from quillveil.llm.warc import ORACLE_SQL, parse_archive, read_archives, restore_payloads, warc_round_trip, write_archives
@@ -57,7 +59,7 @@ def test_settle_compares_bytes():
     data, off = np.frombuffer(b"".join(texts), np.uint8), np.arange(4) * 120
     docs = S.Docs(np.arange(3), np.zeros(3, np.int64), np.zeros(3, np.int64))
     same = np.full(3, 7, np.uint64)
-    stay, _, later = S._settle(docs, data, off, np.arange(3), np.zeros(3, np.int64), np.full(3, 120), same, same)
+    stay, _, later = S._settle(docs, np.arange(3), np.zeros(3, np.int64), data, off[:3], np.full(3, 120), same, same)
     assert sorted(stay.tolist()) == [0, 2] and later.tolist() == [1]
 
 
@@ -136,6 +138,44 @@ def test_jaccard_of_a_large_group(spark, monkeypatch, chunk):
     assert links_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == R.jaccard(rows)
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """Two texts under one id keep their own links; near copies of either go."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " end"), (3, a + " end")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in N.link_documents(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert sorted((r.doc_id, r.text) for r in N.drop_near_duplicates(df).collect()) == [(1, a), (1, b)]
+    df = spark.createDataFrame([(0, a), (1, a + " end"), (1, b), (2, b + " end")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in N.drop_near_duplicates(df).collect()) == [(0, a), (1, b)]
+
+
+def test_jaccard_of_chains(spark, monkeypatch):
+    """A long chain of near copies is one component; verified by bands, its links are those of brute force and its work grows with its length."""
+    for name, value in (("COMPONENT_CHUNKS", 1), ("CHUNK_DOCS", 16)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(21)
+    words, rows = [f"w{rng.randrange(9000)}" for _ in range(80)], []
+    for i in range(400):
+        words = words[2:] + [f"v{rng.randrange(9000)}", f"u{i}"]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert links_of(df) == R.jaccard(rows)
+    signed = df.selectExpr("doc_id doc", "text", "xxhash64(text) t")
+    sign, schema = N._signatures("bigint", *N.choose_bands(0.8, N.RECALL), N.WORDS)
+    classes = signed.mapInArrow(sign, schema).selectExpr("class", "xxhash64(class) cid", "n", "bands")
+    placed = N._placed(classes)
+    members = [r["count"] for r in placed.groupBy("band", "group").count().collect()]
+    # All pairs of the chain are 79800; those of its bands stay near its length times the width of a band's group.
+    assert placed.filter("band < 0").count() == 0 and max(members) < 40 and sum(n * (n - 1) // 2 for n in members) < 79800 // 2
+
+
+def test_jaccard_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " x"), (3, "short")]
+    got = links_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True)}
+
+
 def test_jaccard_at_the_threshold(spark):
     """Nine and eight of ten n-grams: 9 common of 9 + 9 - ... is decided in whole numbers."""
     a = [f"a{i}" for i in range(13)]  # 9 n-grams
@@ -185,6 +225,26 @@ def test_vectors(spark, small):
     assert link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_repeated_ids(spark):
+    """Vectors under one id are vectors of their own."""
+    u, v = [1.0] + [0.0] * 9, [0.0] * 9 + [1.0]
+    near = lambda x: [y + 0.01 for y in x]
+    df = spark.createDataFrame([(1, u, 1), (1, v, 1), (2, near(v), 1), (3, near(u), 1), (None, u, 1), (4, u, 2)], "vec_id bigint, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in link_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 1, 1), (2, 1, 1), (3, 2, 1), (None, 2, 1), (4, 0, 4)], key=str)
+
+
+def test_block_pairs_grow_with_the_near_ones(spark):
+    """Of blocks along a line only neighbours are paired, at every level."""
+    from quillveil.llm.embedding_dedup import near_blocks
+
+    rows = [((p << 32) + i, 1, 64, [float(p * 50 + i)] + [0.0] * 7, [p * 50 + i + 0.5] + [0.0] * 7) for p in range(20) for i in range(50)]
+    df = spark.createDataFrame(rows + [(r[0], 2, *r[2:]) for r in rows[:3]], "block bigint, label int, dim int, lo array<double>, hi array<double>")
+    pairs = {tuple(r) for r in near_blocks(df.filter("label = 1"), 0.6).collect()}
+    names = [r[0] for r in rows]
+    assert pairs == {(a, a) for a in names} | set(zip(names[:-1], names[1:]))
+
+
 PAGES = [(1, "u", "<p>a</p>"), (2, "u\r\nX: y", "<p>a</p>"), (3, None, None), (4, "u", ""), (5, "u", "line\r\n\r\nWARC/1.1\r\n\r\nend\r\n\r\n"), (6, "u", "é😀"), (7, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "u", "only"), (9, "u", "x" * 100_000), (7, "u", "<p>a</p>")]
 
 
@@ -200,22 +260,41 @@ def test_warc(spark, pages):
     assert warc_round_trip(pages.limit(0)).count() == 0
 
 
-def test_warc_payloads_come_back(spark, pages, tmp_path):
-    write_archives(pages, f"{tmp_path}/w", records_per_file=2)
+def test_warc_payloads_come_back(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TIERS", (50, 1000, None))
+    write_archives(pages, f"{tmp_path}/w", file_bytes=6000, date="2024-05-06T07:08:09Z")
     got = sorted(((r.page_id, bytes(r.payload).decode()) for r in restore_payloads(spark, f"{tmp_path}/w").collect()), key=str)
     assert got == sorted(((p, h or "") for p, _, h in PAGES), key=str)
     files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
-    assert len(files) > 1
+    assert len(files) > 4 and all(f.name.endswith(".gz") for f in files)
+    kinds = []
     for f in files:
-        for headers, _ in parse_archive(f.read_bytes()):
-            assert headers["WARC-Type"] in ("response", "revisit") and headers["WARC-Record-ID"].startswith("<urn:uuid:")
-            assert ("WARC-Refers-To" in headers) == (headers["WARC-Type"] == "revisit")
+        raw = gzip.decompress(f.read_bytes())
+        assert len(raw) < 2 * 6000 or raw.count(b"WARC/1.1") == 1
+        for headers, _ in parse_archive(raw):
+            kinds.append(headers["WARC-Type"])
+            assert headers["WARC-Record-ID"].startswith("<urn:uuid:") and headers["WARC-Date"] == "2024-05-06T07:08:09Z"
+            for name in ("WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date"):
+                assert (name in headers) == (headers["WARC-Type"] == "revisit")
+    assert kinds.count("warcinfo") == 1 and set(kinds) == {"warcinfo", "response", "revisit"}
+
+
+def test_warc_is_read_in_pieces():
+    rec = lambda body: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    bodies = [b"", b"a\r\n\r\nWARC/1.1\r\n\r\n", b"x" * 5000]
+    raw = b"".join(map(rec, bodies))
+    zipped = b"".join(gzip.compress(rec(b)) for b in bodies)
+    for n in (1, 7, 4096):
+        assert [b for _, b in parse_archive(raw[i : i + n] for i in range(0, len(raw), n))] == bodies
+    assert [b for _, b in parse_archive(warc._unzipped(memoryview(zipped)))] == bodies
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(parse_archive(raw[:-1]))
 
 
 def test_warc_damage_is_found(spark, pages, tmp_path):
     write_archives(pages.filter("page_id = 6"), f"{tmp_path}/w")
-    f = next(x for x in (tmp_path / "w").iterdir() if x.name.startswith("part-") and x.stat().st_size)
-    f.write_bytes(f.read_bytes().replace("é".encode(), "è".encode()))
+    f = next(x for x in (tmp_path / "w").iterdir() if x.name.startswith("part-") and "é".encode() in gzip.decompress(x.read_bytes()))
+    f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes()).replace("é".encode(), "è".encode())))
     (tmp_path / "w" / f".{f.name}.crc").unlink()
     with pytest.raises(Exception, match="digest"):
         read_archives(spark, f"{tmp_path}/w").collect()
