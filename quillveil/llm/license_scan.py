@@ -1,24 +1,34 @@
 """Licence families of paragraphs, by a trained n-gram classifier and template comparison.
 
-A paragraph is a line of the text. Its features are the word n-grams (up to
-three words) that occur in licence templates and hold a word that says
-something; multinomial logistic regression over them gives a probability for
-each family and for `unknown`. The model is trained when the query runs: on the
-templates, on shortened, mixed and embedded variants of them, on fixed hard
-negatives, and on at most `NEGATIVES` paragraphs of the corpus, taken in hash
-order. A part is held out, and a temperature fitted on it calibrates the
-probabilities. A prediction needs half of the probability, and is confirmed
-if enough of its three-word shingles are in one of the family's templates.
-
-The main path is DataFrame and SQL functions throughout. A paragraph without
-any word of the vocabulary has no feature, so its prediction is the model's
-intercept, `unknown`; such paragraphs leave at a set lookup. Features of the
-others are exploded and joined with the weights (at most `MAX_FEATURES` rows,
-hence broadcast), and summed per paragraph with partial aggregation.
+A paragraph is a run of neighbouring lines that each hold a telling word, a word
+of the vocabulary; so a notice wrapped over lines is one paragraph, and a notice
+on a line of its own amid other text is one as well. Its features are the word
+n-grams (up to three words) that occur in licence templates and hold a word that
+says something; multinomial logistic regression over them gives a probability
+for each family and for `unknown`. The model is trained when the query runs,
+unless one is given: on the templates, on shortened, mixed and embedded variants
+of them, on fixed hard negatives, and on at most `NEGATIVES` paragraphs of the
+corpus, taken in hash order. A part is held out, and a temperature fitted on it
+calibrates the probabilities. A prediction needs half of the probability, and is
+confirmed if enough of its word shingles are in one of the family's templates.
+The lines of a paragraph of several are judged by themselves, too, and count if
+they hold a whole template of another family than the paragraph's.
+
+The main path is DataFrame and SQL functions throughout. Documents are read
+once: their paragraphs are written, and training, scoring and comparison take
+them from there. A line without a telling word has no feature, so its prediction
+would be the model's intercept, `unknown`. Features of paragraphs are exploded
+and joined with the weights (a table as large as the templates, hence broadcast;
+more than `MAX_FEATURES` of them is an error), and summed per paragraph with
+partial aggregation.
 
 Defined results: a null or empty text has no paragraph and no licence; rows that
-repeat an id and text are scanned each; equal paragraphs of a document count
-each; an empty table gives no row; further columns are ignored.
+repeat an id or text are scanned each; equal paragraphs of a document count
+each; of families of equal probability the first in the order of `TEMPLATES` is
+predicted; of confirmed notices of equal probability the one with the greater
+similarity, then the family that sorts last, is the document's licence; long
+texts are scanned in whole; an empty table gives no row; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +50,7 @@ VARIANTS = 14
 MAX_FEATURES = 8000
 MAX_WORDS = 3
 CONFIRM = 0.5
+WHOLE = 0.9
 SEED = 7
 
 # Notices of the families as their publishers word them.
@@ -52,6 +63,8 @@ TEMPLATES = {
         "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "MIT License",
+        "License: MIT",
     ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0",
@@ -60,6 +73,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: Apache-2.0",
         "Released under the Apache 2.0 license",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "Apache License, Version 2.0",
+        "License: Apache-2.0",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3",
@@ -90,11 +105,15 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "BSD 3-Clause License",
+        "License: BSD-3-Clause",
     ],
     "ISC": [
         "Licensed under the ISC License",
         "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "ISC License",
+        "License: ISC",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -188,15 +207,24 @@ def features_of(words: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
+    """Three-word shingles; of one or two words, the whole."""
     return F.array_distinct(F.when(F.size(words) >= 3, _grams(words, 3)).otherwise(F.array(F.array_join(words, " "))))
 
 
+def _template_table(spark: SparkSession) -> DataFrame:
+    """(family, templates): shingles of one, two and three words of each notice."""
+    rows = _table(spark, [(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, text string")
+    words = words_of(F.col("text"))
+    sets = F.struct(F.array_distinct(words).alias("one"), F.array_distinct(_grams(words, 2)).alias("two"), _shingles(words).alias("three"))
+    return rows.groupBy("family").agg(F.collect_list(sets).alias("templates"))
+
+
 def _plain(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
 def vocabulary() -> list[str]:
-    """N-grams of the templates that hold a telling word, in order; the frequent first if there are too many."""
+    """N-grams of the templates that hold a telling word, in order."""
     stop, count = set(STOP_WORDS), {}
     for texts in TEMPLATES.values():
         for t in texts:
@@ -206,7 +234,9 @@ def vocabulary() -> list[str]:
                     if any(x not in stop and not x.isdigit() for x in w[i : i + n]):
                         gram = " ".join(w[i : i + n])
                         count[gram] = count.get(gram, 0) + 1
-    return sorted(sorted(count, key=lambda g: (-count[g], g))[:MAX_FEATURES])
+    if len(count) > MAX_FEATURES:
+        raise ValueError(f"the templates have {len(count)} features; MAX_FEATURES is {MAX_FEATURES}, and weights are broadcast")
+    return sorted(count)
 
 
 def _word_grams(words: list[str]) -> set[str]:
@@ -313,21 +343,20 @@ class LicenseModel:
 def train(spark: SparkSession, corpus: DataFrame | None = None, negatives: int = NEGATIVES, seed: int = SEED) -> LicenseModel:
     """Fit weights on four fifths of the labelled rows and the temperature on the rest.
 
-    corpus: (text) paragraphs; at most `negatives` of those with no more than
-    one telling word serve as examples of `unknown`.
+    corpus: (words) of paragraphs; at most `negatives` of those with one telling
+    word serve as examples of `unknown`.
     """
     features = vocabulary()
     families = [UNKNOWN, *TEMPLATES]
     number = {f: i for i, f in enumerate(families)}
     telling = [f for f in features if " " not in f]
     rows = _table(spark, [(i, number[f], t) for i, (f, t) in enumerate(training_rows(seed=seed))], "row bigint, label int, text string")
+    rows = rows.select("row", "label", words_of(F.col("text")).alias("words"))
     if corpus is not None:
-        plain = corpus.select("text").filter(F.length("text") > 0)
-        # Few paragraphs are kept, so few are looked at: in hash order, well over the bound.
-        picked = plain.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(2 * negatives)
-        sample = picked.filter(F.size(F.filter(words_of(F.col("text")), lambda w: w.isin(telling))) <= 1).limit(negatives)
-        rows = rows.unionByName(sample.select((F.xxhash64("text").bitwiseOR(F.lit(1 << 40))).alias("row"), F.lit(0).alias("label"), "text"))
-    ready = rows.select("row", F.col("label").cast("double").alias("label"), features_of(words_of(F.col("text"))).alias("features"), (F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(5)) == 0).alias("held"))
+        plain = corpus.filter(F.size(F.filter("words", lambda w: w.isin(telling))) == 1)
+        picked = plain.select("words", F.xxhash64("words").alias("h")).orderBy("h", F.array_join("words", " ")).limit(negatives)
+        rows = rows.unionByName(picked.select(F.col("h").bitwiseOR(F.lit(1 << 40)).alias("row"), F.lit(0).alias("label"), "words"))
+    ready = rows.select("row", F.col("label").cast("double").alias("label"), features_of(F.col("words")).alias("features"), (F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(5)) == 0).alias("held"))
     ready = materialize(ready.coalesce(1), "license-train")
     counted = CountVectorizerModel.from_vocabulary(features, inputCol="features", outputCol="vector")
     counted = counted.setBinary(True) if hasattr(counted, "setBinary") else counted
@@ -351,55 +380,86 @@ def train(spark: SparkSession, corpus: DataFrame | None = None, negatives: int =
     return model
 
 
-def paragraphs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, text) for each line that is not blank; `at` counts all lines from 0."""
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    return docs.select(F.col(id_col), F.posexplode(lines).alias("at", "text")).filter(F.length(F.trim("text")) > 0)
+def paragraphs_of(text: Column, telling: list[str]) -> Column:
+    """Array of (at, n_lines, inside, words): runs of lines with telling words, and after each run of several its lines, which are `inside`.
+
+    `at` counts all lines from 0.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), words_of(x).alias("w")))
+    told = F.filter(lines, lambda x: F.exists(x["w"], lambda w: w.isin(telling)))
+
+    def runs(t: Column) -> Column:
+        opens = F.filter(F.transform(t, lambda x, k: F.when(F.coalesce(F.get(t, k - 1)["i"], F.lit(-2)) + 1 != x["i"], k)), lambda k: k.isNotNull())
+
+        def run(s: Column, k: Column, j: Column) -> Column:
+            part = F.slice(t, k + 1, F.coalesce(F.get(s, j + 1), F.size(t)) - k)
+            whole = F.struct(F.get(t, k)["i"].alias("at"), F.size(part).alias("n_lines"), F.lit(False).alias("inside"), F.flatten(F.transform(part, lambda x: x["w"])).alias("words"))
+            single = F.transform(part, lambda x: F.struct(x["i"].alias("at"), F.lit(1).alias("n_lines"), F.lit(True).alias("inside"), x["w"].alias("words")))
+            return F.when(F.size(part) == 1, F.array(whole)).otherwise(F.concat(F.array(whole), single))
+
+        return _let(opens, lambda s: F.flatten(F.transform(s, lambda k, j: run(s, k, j))))
+
+    return _let(told, runs)
+
+
+def _let(value: Column, body) -> Column:
+    """`body(value)` with `value` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def scan_paragraphs(paragraphs: DataFrame, model: LicenseModel, keys: list[str], confirm: float = CONFIRM) -> DataFrame:
-    """keys, family, probability, template_similarity, confirmed: for the paragraphs predicted to be a licence notice."""
-    telling = model.telling_words()
-    worded = paragraphs.select(*keys, words_of(F.col("text")).alias("words")).filter(F.exists("words", lambda w: w.isin(telling)))
-    vocabulary_ = sorted(model.features)
-    ready = worded.select(*keys, F.filter(features_of(F.col("words")), lambda f: f.isin(vocabulary_)).alias("features"), "words")
-    scored = model.probabilities(ready.select(*keys, "features"), keys).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= 0.5))
-    # Written, so that its size is known: only the texts of predicted paragraphs need to move, or none if it is small.
+    """keys, family, probability, template_similarity, whole, confirmed: for those of the paragraphs (keys, words) predicted to be a licence notice.
+
+    template_similarity is the share of common shingles of the shorter side, for
+    the family's best template; whole is the share of a template's shingles.
+    """
+    known = sorted(model.features)
+    ready = paragraphs.select(*keys, F.filter(features_of(F.col("words")), lambda f: f.isin(known)).alias("features"))
+    scored = model.probabilities(ready, keys).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= 0.5))
+    # Written, so that its size is known: only the words of predicted paragraphs need to move, or none if it is small.
     scored = materialize(scored, "license-scored")
-    spark = paragraphs.sparkSession
-    templates = _table(spark, [(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, text string")
-    templates = templates.groupBy("family").agg(F.collect_list(_shingles(words_of(F.col("text")))).alias("templates"))
-    own = worded.select(*keys, "words")
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.least(F.size(t), F.size("own"))))
-    joined = scored.join(own, keys).withColumn("own", _shingles(F.col("words"))).join(F.broadcast(templates), "family").select(*keys, "family", "probability", share.alias("template_similarity"))
+    own = F.col("own")
+    mine = lambda t: F.when(F.size("words") >= 3, t["three"]).when(F.size("words") == 2, t["two"]).otherwise(t["one"])
+    common = lambda t: F.size(F.array_intersect(mine(t), own))
+    share = F.array_max(F.transform("templates", lambda t: common(t) / F.greatest(F.least(F.size(mine(t)), F.size(own)), F.lit(1))))
+    whole = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t["three"], own)) / F.size(t["three"])))
+    joined = scored.join(paragraphs.select(*keys, "words"), keys).withColumn("own", _shingles(F.col("words"))).join(F.broadcast(_template_table(paragraphs.sparkSession)), "family")
+    joined = joined.select(*keys, "family", "probability", share.alias("template_similarity"), whole.alias("whole"))
     return joined.withColumn("confirmed", F.col("template_similarity") >= confirm)
 
 
-def scan_licenses(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_paragraphs, n_notices, families (confirmed, sorted), license (of the likeliest confirmed notice), probability, template_similarity, notices."""
+def scan_licenses(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
+    """One row per document: id, n_lines (not blank), n_notices, families (confirmed, sorted), license (of the likeliest confirmed notice), probability, template_similarity, notices."""
     spark = docs.sparkSession
-    named = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    model = train(spark, paragraphs_of(named, id_col, "text").select("text"))
-    # A row is known by its id, which may be null, and its text; rows that repeat both have equal results.
-    doc, key = F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("copy")).alias("doc"), ["doc", "at"]
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    paragraphs = named.select(doc, F.posexplode(lines).alias("at", "text"))
-    notices = materialize(scan_paragraphs(paragraphs, model, key, confirm), "license-notices").dropDuplicates(key)
-    per_doc = notices.groupBy("doc").agg(
-        F.count("*").alias("n_notices"),
-        F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
-        F.max(F.when(F.col("confirmed"), F.struct("probability", "template_similarity", "family"))).alias("best"),
-        F.array_sort(F.collect_list(F.struct("at", "family", F.round("probability", 6).alias("probability"), F.round("template_similarity", 6).alias("template_similarity"), "confirmed"))).alias("notices"),
-    )
-    full = named.select(F.col(id_col), doc, F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).cast("long").alias("n_paragraphs"))
-    found = full.join(per_doc, "doc", "left")
-    return found.select(
-        id_col,
-        "n_paragraphs",
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    telling = model.telling_words() if model else [f for f in vocabulary() if " " not in f]
+    n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)).cast("long")
+    # Rows get numbers that are written with them, so rows that repeat an id or have none are told apart.
+    base = materialize(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), n_lines.alias("n_lines"), paragraphs_of(text, telling).alias("paragraphs")), "license-paragraphs")
+    key = ["row", "at", "inside"]
+    paragraphs = base.select("row", F.inline("paragraphs"))
+    model = model or train(spark, paragraphs.filter("NOT inside").select("words"))
+    found = scan_paragraphs(paragraphs.select(*key, "words"), model, key, confirm).filter(F.expr("NOT inside") | (F.col("whole") >= WHOLE))
+    # A line inside a paragraph adds what the paragraph does not say already.
+    sizes = paragraphs.select(*key, "n_lines").filter("n_lines > 1 OR inside")
+    found = materialize(found.join(sizes, key, "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(1))), "license-notices")
+    said = F.struct("at", "n_lines", "inside", "family", F.round("probability", 6).alias("probability"), F.round("template_similarity", 6).alias("template_similarity"), "confirmed")
+    gathered = found.groupBy("row").agg(F.array_sort(F.collect_list(said)).alias("all"))
+    covers = lambda b, n: ~b["inside"] & b["confirmed"] & (b["family"] == n["family"]) & (b["at"] <= n["at"]) & (n["at"] < b["at"] + b["n_lines"])
+    kept = F.filter("all", lambda n: ~n["inside"] | ~F.exists("all", lambda b: covers(b, n)))
+    per_doc = gathered.select("row", kept.alias("notices"))
+    sure = F.filter("notices", lambda n: n["confirmed"])
+    best = F.array_max(F.transform(sure, lambda n: F.struct(n["probability"].alias("probability"), n["template_similarity"].alias("template_similarity"), n["family"].alias("family"))))
+    none = F.array()
+    per_doc = per_doc.select("row", F.size("notices").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.transform(sure, lambda n: n["family"]))).alias("families"), best.alias("best"), F.transform("notices", lambda n: n.dropFields("inside")).alias("notices"))
+    out = base.select("row", "id", "n_lines").join(per_doc, "row", "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_lines",
         F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
-        F.coalesce("families", F.array().cast("array<string>")).alias("families"),
+        F.coalesce("families", none.cast("array<string>")).alias("families"),
         F.col("best.family").alias("license"),
-        F.round("best.probability", 6).alias("probability"),
-        F.round("best.template_similarity", 6).alias("template_similarity"),
+        F.col("best.probability").alias("probability"),
+        F.col("best.template_similarity").alias("template_similarity"),
         "notices",
     )

@@ -110,3 +110,52 @@ def vectors(rows, threshold=0.98):
                     links[j] += 1
                     sets.join(i, j)
     return {r[0]: (links[r[0]], sets.find(r[0]), sets.find(r[0]) == r[0]) for r in rows}
+
+
+def licenses(text, model, templates, confirm=0.5, whole_share=0.9):
+    """(n_lines, notices, families, license) of a text by the model's numbers; notices: (at, n_lines, family, probability, similarity, confirmed)."""
+    import math
+
+    import regex
+
+    split = lambda t: regex.findall(r"[\p{L}\p{N}]+", t.lower())
+    grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    telling = {f for f in model.features if " " not in f}
+    weights = {f: [round(x, 6) for x in w] for f, w in zip(model.features, model.weights) if any(abs(x) > 1e-6 for x in w)}
+    lines = (text or "").split("\n")
+    words = [split(x) for x in lines]
+    told = [i for i, w in enumerate(words) if telling & set(w)]
+    runs = []
+    for i in told:
+        if runs and runs[-1][-1] == i - 1:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+
+    def judge(w):
+        known = {g for n in (1, 2, 3) for g in grams(w, n)} & set(model.features)
+        logits = [(sum(weights[f][k] for f in known if f in weights) + b) / model.temperature for k, b in enumerate(model.intercepts)]
+        best = logits.index(max(logits))
+        p = 1 / sum(math.exp(x - logits[best]) for x in logits)
+        family = model.families[best]
+        if family == "unknown" or p < 0.5:
+            return None
+        n = min(3, len(w))
+        own = grams(w, n)
+        sets = [split(t) for t in templates[family]]
+        similarity = max(len(grams(t, n) & own) / max(1, min(len(grams(t, n)), len(own))) for t in sets)
+        whole = max(len(grams(t, min(3, len(t))) & own) / len(grams(t, min(3, len(t)))) for t in sets)
+        return family, p, similarity, whole
+
+    found = []
+    for run in runs:
+        block = judge([x for i in run for x in words[i]])
+        if block:
+            found.append((run[0], len(run), *block[:3], block[2] >= confirm))
+        for i in run if len(run) > 1 else []:
+            one = judge(words[i])
+            if one and one[3] >= whole_share and not (block and block[2] >= confirm and block[0] == one[0]):
+                found.append((i, 1, *one[:3], one[2] >= confirm))
+    sure = [f for f in found if f[5]]
+    best = max(((round(f[3], 6), round(f[4], 6), f[2]) for f in sure), default=None)
+    return sum(bool(x.strip(" ")) for x in lines), sorted(found), sorted({f[2] for f in sure}), best and best[2]
