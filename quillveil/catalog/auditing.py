@@ -25,11 +25,9 @@ def audit_two_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches shown per source, documents being its pages."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
-    rule = [search_rule("the", ignore_accents=False)]
-    shown = cap_report(scan_view(pages, rule, READERS[0]), ["doc_id"])
-    return shown.groupBy(F.col("doc_id").alias("source"), "page").agg(F.count("*").alias("n_shown"))
+    """Matches shown per conversation, turns being its pages."""
+    shown = cap_report(scan_view(turns(spark, sf_dir), [search_rule("the", ignore_accents=False)], READERS[0]), ["doc_id"], most=5)
+    return shown.groupBy("doc_id", "page").agg(F.count("*").alias("n_shown"))
 
 
 def audit_matched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +113,7 @@ ENTRIES = {
     "audit_two_readers": Entry(audit_two_readers, f"SELECT doc_id, greatest(a, b)::BIGINT AS n_matches, least(a, b)::BIGINT AS n_both, greatest(b - a, 0)::BIGINT AS n_plain_only FROM ({_MERGED % 'documents'}) WHERE greatest(a, b) > 0"),
     "audit_caps": Entry(
         audit_caps,
-        f"SELECT source, page, least(c, 200 - coalesce(before, 0))::BIGINT AS n_shown FROM (SELECT *, sum(c) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT source, doc_id AS page, least({_WORD}, 50) AS c FROM documents) WHERE c > 0) WHERE coalesce(before, 0) < 200",
+        f"SELECT doc_id, page, least(c, 5 - coalesce(before, 0))::BIGINT AS n_shown FROM (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT conv_id AS doc_id, turn::INTEGER AS page, least({_WORD}, 50) AS c FROM conversations) WHERE c > 0) WHERE coalesce(before, 0) < 5",
     ),
     "audit_matched_pages": Entry(audit_matched_pages, f"SELECT doc_id, string_agg((page + 1)::VARCHAR, ',' ORDER BY page) AS pages, sum(c)::BIGINT AS n_matches FROM (SELECT conv_id AS doc_id, turn::INTEGER AS page, least({_WORD}, 50) AS c FROM conversations) WHERE c > 0 GROUP BY doc_id"),
     "audit_leaks": Entry(

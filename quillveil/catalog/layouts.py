@@ -13,6 +13,7 @@ from quillveil.operators.matching import find_hits
 from quillveil.operators.plan import bucket_counts, dedupe, merge_ranges, over_cap
 from quillveil.operators.unread import covered_parts, image_regions, review_groups, unacknowledged_fonts, unacknowledged_regions, uncovered_fonts, uncovered_regions, unreliable_fonts
 from quillveil.plans.rules import preset_rules
+from quillveil.session import materialize
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +179,9 @@ _PARTS_SQL = f"""SELECT region_id, source, u_x0, u_y0, u_x1, u_y1 FROM (SELECT r
 
 def regions_review_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = _regions(spark, sf_dir)
-    groups = review_groups(regions.select("region_id", "doc_id", "page", "digest"), covered_parts(regions, _cover(spark, sf_dir)))
+    # Written between the two, as generated code for both together grows too large.
+    parts = materialize(covered_parts(regions, _cover(spark, sf_dir)).select("region_id", "source", "u_x0", "u_y0", "u_x1", "u_y1"), "covered-parts")
+    groups = review_groups(regions.select("region_id", "doc_id", "page", "digest"), parts)
     return groups.select("doc_id", "digest", "n_members", F.array_join("pages", ",").alias("pages"), "first_region")
 
 
@@ -215,7 +218,7 @@ def region_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_regions(images, sizes, _cover(spark, sf_dir)).select("image_no", F.round("page_share", 8).alias("page_share"), F.round("text_ratio", 8).alias("text_ratio"))
 
 
-_SHARES_SQL = f"""SELECT region_id AS image_no, round(any_value(share), 8) AS page_share, round(coalesce(sum(greatest(least(r.x1, p.x1) - greatest(r.x0, p.x0), 0) * greatest(least(r.y1, p.y1) - greatest(r.y0, p.y0), 0)), 0) / any_value(area), 8) AS text_ratio
+_SHARES_SQL = f"""SELECT region_id AS image_no, round(any_value(share), 8) AS page_share, round(coalesce(sum(greatest(least(r.x1, p.x1) - greatest(r.x0, p.x0), 0) * greatest(least(r.y1, p.y1) - greatest(r.y0, p.y0), 0)) FILTER (WHERE p.doc_id IS NOT NULL), 0) / any_value(area), 8) AS text_ratio
  FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area, (x1 - x0) * (y1 - y0) / (600.0::DOUBLE * (6000.0::DOUBLE + doc_id * 10.0::DOUBLE)) AS share FROM ({_REGIONS_SQL})) r LEFT JOIN ({_COVER_SQL}) p ON r.doc_id = p.doc_id AND r.page = p.page WHERE share >= 0.0002 GROUP BY region_id"""
 
 
@@ -224,7 +227,7 @@ def image_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_images(_regions(spark, sf_dir), plan, "pixels").select("region_id", "action")
 
 
-_ACTIONS_SQL = f"""SELECT region_id, CASE WHEN max(CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END) = 1 THEN 'drop' WHEN max(CASE WHEN least(r.x1, p.x1) > greatest(r.x0, p.x0) AND least(r.y1, p.y1) > greatest(r.y0, p.y0) THEN 1 ELSE 0 END) = 1 THEN 'blacken' ELSE 'keep' END AS action
+_ACTIONS_SQL = f"""SELECT region_id, CASE WHEN max(CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END) = 1 THEN 'drop' WHEN max(CASE WHEN p.x0 IS NOT NULL AND least(r.x1, p.x1) > greatest(r.x0, p.x0) AND least(r.y1, p.y1) > greatest(r.y0, p.y0) THEN 1 ELSE 0 END) = 1 THEN 'blacken' ELSE 'keep' END AS action
  FROM ({_REGIONS_SQL}) r LEFT JOIN (SELECT *, s_suppkey AS k FROM supplier JOIN ({_COVER_SQL.replace('SELECT ', 'SELECT s_suppkey AS kk, ', 1)}) ON kk = s_suppkey) p ON r.doc_id = p.doc_id AND r.page = p.page GROUP BY region_id"""
 
 
@@ -282,7 +285,29 @@ _PREDICATES_SQL = """SELECT x0 >= 4.25 AND x1 <= 40.75 AND y1 <= 4.75 AS inside,
  FROM (SELECT l_discount, l_quantity - l_linenumber * 5.0::DOUBLE AS x0, l_quantity AS x1, l_linenumber * 1.0::DOUBLE AS y1 FROM lineitem) GROUP BY ALL"""
 
 
+def dense_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3000 overlapping lines on one page: each with the nearest one below it."""
+    k = F.col("id")
+    lines = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("block_no"), k.cast("int").alias("line_no"), F.lit("x").alias("text"), F.lit(50.0).alias("x0"), (k * 0.25).alias("y0"), F.lit(300.0).alias("x1"), (k * 0.25 + 10).alias("y1"))
+    pairs = nearest_next_lines(lines)
+    return pairs.select(F.col("a_line_no").alias("line_no"), F.col("b_line_no").alias("next_no"))
+
+
+def many_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5000 rectangles on one page of 60000 characters: what is left of it."""
+    k = F.col("id")
+    glyphs = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("page"), F.lit("x").alias("c"), ((k % 300) * 2).cast("double").alias("x0"), (F.floor(k / 300) * 4).cast("double").alias("y0"), ((k % 300) * 2 + 2).cast("double").alias("x1"), (F.floor(k / 300) * 4 + 4).cast("double").alias("y1"))
+    plan = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("page"), (k * 7 % 600).cast("double").alias("x0"), (k * 13 % 800).cast("double").alias("y0"), (k * 7 % 600 + 3).cast("double").alias("x1"), (k * 13 % 800 + 3).cast("double").alias("y1"), F.lit("manual").alias("bucket"))
+    return redact_glyphs(glyphs, plan).groupBy("y0").agg(F.count("*").alias("n_left"))
+
+
+_MANY_SQL = """SELECT y0, count(*) AS n_left FROM (SELECT (i % 300 * 2)::DOUBLE AS x0, (i // 300 * 4)::DOUBLE AS y0 FROM range(60000) t(i)) g
+ WHERE NOT EXISTS (SELECT 1 FROM (SELECT k * 7 % 600 AS x, k * 13 % 800 AS y FROM range(5000) t(k)) p WHERE p.x < g.x0 + 2 AND p.x + 3 > g.x0 AND p.y < g.y0 + 4 AND p.y + 3 > g.y0) GROUP BY y0"""
+
+
 ENTRIES = {
+    "dense_page_lines": Entry(dense_page_lines, "SELECT i::INTEGER AS line_no, (i + 1)::INTEGER AS next_no FROM range(2999) t(i)"),
+    "many_rectangles": Entry(many_rectangles, _MANY_SQL),
     "letterspace_runs": Entry(letterspace_runs, f"SELECT doc_id, count(*) FILTER (WHERE glued) AS n_glued, count(*) AS n_words FROM ({_RUNS_SQL}) GROUP BY doc_id"),
     "letterspaced_lines": Entry(
         letterspaced_lines,

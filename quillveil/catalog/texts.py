@@ -49,21 +49,22 @@ def phone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phone_candidates(spark, sf_dir)
-    return found.select("doc_id", "candidate", D.phone_normalized(F.col("candidate")).alias("normalized"), D.phone_ok(F.col("candidate"), "FR").alias("ok_fr"), D.phone_ok(F.col("candidate"), "US").alias("ok_us"))
+    """National candidates by two plans; those with a plus are tested on a table of numbers (tests/test_detectors.py)."""
+    found = phone_candidates(spark, sf_dir).withColumn("normalized", D.phone_normalized(F.col("candidate"))).filter("NOT startswith(normalized, '+')")
+    return found.select("doc_id", "candidate", "normalized", D.phone_ok(F.col("candidate"), "FR").alias("ok_fr"), D.phone_ok(F.col("candidate"), "US").alias("ok_us"))
 
 
-def _phone_sql(region: str) -> str:
-    _, trunk, own = D.PLANS[region]
-    abroad = "^\\+(?:" + "|".join(f"{code}{'0?' if t == '0' else ''}{o}" for code, t, o in D.PLANS.values()) + ")$"
-    return f"(length(replace(n, '+', '')) BETWEEN 7 AND 15 AND CASE WHEN starts_with(n, '+') THEN regexp_matches(n, '{abroad}') ELSE regexp_matches(n, '^{trunk}?{own}$') END)"
+#: Rules of the two plans by digits, as the regulators state them: nine digits after the trunk 0 in France, ten in three parts in North America.
+_FR_SQL = """(length(f) = 9 AND (substr(f, 1, 1) IN ('1', '2', '3', '4', '5', '6', '9') OR (substr(f, 1, 1) = '7' AND substr(f, 2, 1) >= '3') OR substr(f, 1, 2) = '80'))"""
+_US_SQL = """(length(u) = 10 AND substr(u, 1, 1) >= '2' AND substr(u, 2, 1) <> '9' AND substr(u, 2, 2) <> '11' AND substr(u, 4, 1) >= '2' AND (substr(u, 1, 1) <> '5' OR substr(u, 1, 3) <> '555'))"""
 
 
 PHONE_VALID_SQL = rf"""
 WITH c AS (SELECT DISTINCT doc_id, trim(unnest(regexp_extract_all(text, '{PHONE_SQL}')), ' ' || chr(10)) AS candidate FROM documents),
-b AS (SELECT *, regexp_replace(candidate, '(?i)\s*(?:extension|ext|poste|x|#|\+)\.?\s*\d{{1,6}}\s*$', '') AS bare FROM c),
-n AS (SELECT doc_id, candidate, regexp_replace(regexp_replace(CASE WHEN length(regexp_replace(bare, '\D', '', 'g')) > 0 THEN bare ELSE candidate END, '[^\d+]', '', 'g'), '^00', '+') AS n FROM b)
-SELECT doc_id, candidate, n AS normalized, {_phone_sql('FR')} AS ok_fr, {_phone_sql('US')} AS ok_us FROM n"""
+w AS (SELECT doc_id, candidate, regexp_replace(trim(regexp_replace(candidate, '(?i)\b(?:ext\.?|extension|poste|x|#)\s*\d{{1,6}}\b', '', 'g')), '^\s*00', '+') AS whole FROM c),
+n AS (SELECT doc_id, candidate, CASE WHEN starts_with(whole, '+') THEN '+' ELSE '' END || regexp_replace(whole, '\D', '', 'g') AS n FROM w),
+p AS (SELECT *, CASE WHEN starts_with(n, '0') THEN substr(n, 2) ELSE n END AS f, CASE WHEN length(n) = 11 AND starts_with(n, '1') THEN substr(n, 2) ELSE n END AS u FROM n)
+SELECT doc_id, candidate, n AS normalized, {_FR_SQL} AS ok_fr, {_US_SQL} AS ok_us FROM p WHERE NOT starts_with(n, '+')"""
 
 
 def search_subword_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +92,26 @@ def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's first five words as a rule, all in one pass over the documents."""
-    rules = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("q")).collect()
-    found = documents_with_literals(documents(spark, sf_dir), {r.item_id: r.q for r in rules})
+    """Every run of five words of every benchmark item as a rule, all in one pass over the documents: documents that hold any of an item's."""
+    words = F.split("text", " ")
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i + 1, F.lit(5)), " "))
+    rules = table(spark, sf_dir, "benchmark").filter(F.size(words) >= 5).select(F.col("item_id").alias("literal_id"), F.explode(runs).alias("text"))
+    found = documents_with_literals(documents(spark, sf_dir), rules)
     return found.groupBy(F.col("literal_id").alias("item_id")).agg(F.count("*").alias("n_docs"))
 
 
+def search_rules_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 search rules in one pass: matches of each."""
+    rules = [search_rule(w, f"search:{w}", whole_word=True, ignore_accents=False) for w in _WORDS_200]
+    return find_hits(documents(spark, sf_dir), rules).groupBy("rule_id").agg(F.count("*").alias("n_hits"))
+
+
+def search_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches that ignore accents find decomposed letters as well: the texts are decomposed here first."""
+    pages = documents(spark, sf_dir).withColumn("text", F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "é", "e\u0301"), "ó", "o\u0301"), "ñ", "n\u0303"))
+    return _count(pages, search_rule("ción", whole_word=False))
+
+
 def rules_with_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [search_rule("the", "a", ignore_accents=False, pages=[2, 0, 2]), search_rule("and", "b", ignore_accents=False, pages=[])]
     return find_hits(turns(spark, sf_dir), rules).groupBy("rule_id", F.col("page").cast("int").alias("page")).agg(F.count("*").alias("n_hits"))
@@ -155,12 +170,38 @@ def shortened_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", shorten(F.element_at(F.split("text", "\n"), 1)).alias("title"))
 
 
+USER_PATTERNS = [r"(?<=\s)(\w+)ing(?=\s+\1)", r"\b(?:ré|de)\w+(?<!e)\b"]
+
+
 def regex_user_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user pattern with lookaround, on Python's engine under a time budget."""
-    rules = regex_rules([r"(?<=\s)(\w+)ing(?=\s+\1)", r"\b(?:ré|de)\w+(?<!e)\b"], ignore_accents=False)
+    """User patterns with lookaround, on Python's engine under a time budget."""
+    rules = regex_rules(USER_PATTERNS, ignore_accents=False)
     return find_hits(documents(spark, sf_dir), rules, budget=600.0).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n_hits"))
 
 
+def regex_word_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user pattern whose matches SQL can count by words."""
+    rules = regex_rules(r"\bde\w+(?<!e)\b", ignore_accents=False)
+    return find_hits(documents(spark, sf_dir), rules, budget=600.0).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+
+
+def regex_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A multi-line user pattern with a blank in it: also over the end of a line."""
+    rules = regex_rules(r"[.] [A-Z]", ignore_accents=False, case_sensitive=True, multiline=True)
+    return find_hits(documents(spark, sf_dir), rules, budget=600.0).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+
+
+def regex_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that backtracks for ever ends with its budget of a second; the row says that it did."""
+    pages = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("page"), F.lit("a" * 40 + "!").alias("text"))
+    try:
+        find_hits(pages, regex_rules(r"(a|aa)+$"), budget=1.0).count()
+        ended = False
+    except Exception as e:  # what a task raises reaches the driver wrapped
+        ended = "PatternTimeout" in str(e)
+    return spark.range(1).select(F.lit(ended).alias("ended_by_budget"))
+
+
 def detector_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillveil.streaming.liveness import redact_stream
 
@@ -168,6 +209,10 @@ def detector_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_hits", F.md5("text").alias("digest"), "status")
 
 
+#: 200 words of two letters and more, for as many rules.
+_WORDS_200 = [a + b + c for a in "bdlmnprst" for b in "aeiou" for c in ("", "n", "r", "s", "t")][:200]
+_RAW_LINES_SQL = "SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(l[i]) <> ''"
+
 ENTRIES = {
     "email_hits": Entry(email_hits, f"SELECT doc_id, start_at, end_at, \"match\" FROM ({spans_sql('documents', EMAIL_SQL)})"),
     "email_counts_by_lang": Entry(email_counts_by_lang, f"SELECT lang, count(*) FILTER (WHERE n > 0) AS n_docs, sum(n)::BIGINT AS n_hits FROM (SELECT lang, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS n FROM documents) GROUP BY lang"),
@@ -180,7 +225,21 @@ ENTRIES = {
     "search_accent_folded": Entry(search_accent_folded, "SELECT doc_id, len(regexp_extract_all(strip_accents(text), '(?i)ere')) AS n_hits FROM documents WHERE regexp_matches(strip_accents(text), '(?i)ere')"),
     "search_welded_letters": Entry(search_welded_letters, "SELECT doc_id, len(regexp_extract_all(text, '(?i)e(?:st|ﬆ)')) AS n_hits FROM documents WHERE regexp_matches(text, '(?i)e(?:st|ﬆ)')"),
     "folded_text": Entry(folded_text, "SELECT doc_id, md5(strip_accents(text)) AS digest, length(strip_accents(text))::INTEGER AS n_chars FROM documents"),
-    "multi_rule_counts": Entry(multi_rule_counts, "SELECT item_id, count(*) AS n_docs FROM documents, (SELECT item_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS q FROM benchmark) b WHERE contains(documents.text, q) GROUP BY item_id"),
+    "multi_rule_counts": Entry(
+        multi_rule_counts,
+        "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM documents, (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS q FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)) b WHERE contains(documents.text, q) GROUP BY item_id",
+    ),
+    "search_rules_at_once": Entry(
+        search_rules_at_once,
+        rf"SELECT 'search:' || x AS rule_id, count(*) AS n_hits FROM (SELECT unnest(regexp_split_to_array(lower(text), '{BREAK_SQL}+')) AS x FROM documents) WHERE x IN ({', '.join(repr(w) for w in _WORDS_200)}) GROUP BY x",
+    ),
+    "search_decomposed": Entry(search_decomposed, "SELECT doc_id, len(regexp_extract_all(strip_accents(text), '(?i)cion')) AS n_hits FROM documents WHERE regexp_matches(strip_accents(text), '(?i)cion')"),
+    "regex_word_ends": Entry(
+        regex_word_ends,
+        rf"SELECT * FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '{BREAK_SQL}+'), lambda x: starts_with(x, 'de') AND length(x) > 2 AND NOT ends_with(x, 'e'))) AS n_hits FROM documents) WHERE n_hits > 0",
+    ),
+    "regex_over_lines": Entry(regex_over_lines, f"SELECT doc_id, len(regexp_extract_all(t, '[.][ \n][A-Z]')) AS n_hits FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM ({_RAW_LINES_SQL}) GROUP BY doc_id) WHERE regexp_matches(t, '[.][ \n][A-Z]')"),
+    "regex_over_budget": Entry(regex_over_budget, "SELECT true AS ended_by_budget"),
     "rules_with_scope": Entry(
         rules_with_scope,
         rf"""SELECT rule_id, page, sum(n)::BIGINT AS n_hits FROM (

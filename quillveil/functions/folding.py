@@ -15,6 +15,10 @@ LIGATURES = {"ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ",
 _UPPER_GLYPHS = {"æ": "Æ", "œ": "Œ"}
 
 
+#: Combining marks, which a decomposed accent puts after its letter.
+MARKS = r"\p{M}*"
+
+
 def fold_char(c: str) -> str:
     """The base letter of an accented or styled character; itself where there is none or more than one."""
     bases = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
@@ -80,23 +84,26 @@ def quote(c: str) -> str:
     return "\\" + c if c in "\\.^$|?*+()[]{}-/&#~" else c
 
 
-def literal_pattern(text: str) -> str:
-    """A pattern for a literal in which welded letters and their glyph match each other, in either spelling."""
+def literal_pattern(text: str, marks: str = "") -> str:
+    """A pattern for a literal in which welded letters and their glyph match each other, in either spelling.
+
+    marks: a pattern for what may follow each character, such as combining marks.
+    """
     glyphs = {g: letters for letters, g in LIGATURES.items()} | {_UPPER_GLYPHS[g]: x for x, g in LIGATURES.items() if g in _UPPER_GLYPHS}
     longest_first = sorted(LIGATURES, key=len, reverse=True)
     out, i = [], 0
     while i < len(text):
         found = next((x for x in longest_first if text[i : i + len(x)].lower() == x), None)
         if text[i] in glyphs:
-            out.append(f"(?:{text[i]}|{glyphs[text[i]]})")
+            out.append(f"(?:{text[i]}|{marks.join(glyphs[text[i]])}){marks}")
             i += 1
         elif found:
             glyph = LIGATURES[found]
             glyph = _UPPER_GLYPHS.get(glyph, glyph) if text[i].isupper() else glyph
-            out.append(f"(?:{''.join(map(quote, text[i : i + len(found)]))}|{glyph})")
+            out.append(f"(?:{marks.join(map(quote, text[i : i + len(found)]))}|{glyph}){marks}")
             i += len(found)
         else:
-            out.append(quote(text[i]))
+            out.append(quote(text[i]) + marks)
             i += 1
     return "".join(out)
 

@@ -23,9 +23,10 @@ def is_empty(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def intersection_area(a: list[Column], b: list[Column]) -> Column:
+    """Common area of two rectangles; 0 where one is absent, as after an outer join."""
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
     h = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
-    return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+    return F.when(a[0].isNull() | b[0].isNull(), 0.0).otherwise(F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)))
 
 
 def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -66,3 +67,17 @@ def inverse_map(m: Column) -> Column:
     det = a * d - b * c
     out = F.array(d / det, -b / det, -c / det, a / det, (c * f - d * e) / det, (b * e - a * f) / det)
     return F.when(F.abs(det) >= 1e-9, out)
+
+
+BAND = 32.0
+_MOST_BANDS = 2000
+
+
+def band_of(y: Column) -> Column:
+    """Number of the horizontal band that a height lies in; what is far off any page shares the outermost ones."""
+    return F.floor(F.least(F.greatest(y / BAND, F.lit(-float(_MOST_BANDS))), F.lit(float(_MOST_BANDS)))).cast("int")
+
+
+def bands_between(low: Column, high: Column) -> Column:
+    """Numbers of all bands from one height to another."""
+    return F.sequence(band_of(low), F.greatest(band_of(low), band_of(high)))

@@ -70,23 +70,50 @@ def shorten(text: Column, most: int = 56) -> Column:
 
 
 def merge_spans(spans: Column) -> Column:
-    """Sorted maximal spans; overlapping and touching ones become one."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(-1))), joined).otherwise(F.concat(acc, F.array(x)))
+    """Sorted maximal spans; overlapping and touching ones become one.
 
+    How far the spans up to each one reach comes from widening: after round k a
+    place holds the farthest end of the 4**k spans up to it. So the work is that
+    of the spans times the logarithm of their number.
+    """
     plain = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
-    return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+    def reached(ends: Column, k: int) -> Column:
+        if k == 12:
+            return ends
+        step = 4**k
+        before = lambda e, x, i: [F.coalesce(F.get(e, i - j * step), x) for j in (1, 2, 3)]
+        return let(ends, lambda e: F.when(F.size(e) > step, reached(F.transform(e, lambda x, i: F.greatest(x, *before(e, x, i))), k + 1)).otherwise(e))
+
+    def islands(s: Column) -> Column:
+        def cut(far: Column) -> Column:
+            opens = F.filter(F.transform(s, lambda x, i: F.when(x["start"] > F.coalesce(F.get(far, i - 1), F.lit(-1)), i)), lambda i: i.isNotNull())
+            return let(opens, lambda o: F.transform(o, lambda i, j: F.struct(F.get(s, i)["start"].alias("start"), F.get(far, F.coalesce(F.get(o, j + 1), F.size(s)) - 1).alias("end"))))
+
+        return let(reached(F.transform(s, lambda x: x["end"]), 0), cut)
+
+    return let(plain, islands)
+
+
+_PIECE = 4096
 
 
 def cut_spans(text: Column, spans: Column, mark: str = "") -> Column:
-    """The text with merged, sorted spans replaced by `mark`."""
+    """The text with merged, sorted spans replaced by `mark`.
+
+    A place in a string is found by counting from its start, so the text is cut
+    into short pieces first, and each kept part is taken from the few it lies in.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def kept(p: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _PIECE).cast("int")
+        few = F.slice(p, first + 1, F.floor((b - 1) / _PIECE).cast("int") - first + 1)
+        return F.when(b <= a, F.lit("")).otherwise(F.substring(F.array_join(few, ""), F.pmod(a, F.lit(_PIECE)) + 1, b - a))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], piece, F.lit(mark)).alias("out"))
+    def rebuilt(p: Column) -> Column:
+        gaps = F.transform(spans, lambda x, i: kept(p, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), x["start"]))
+        tail = kept(p, F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)), F.length(text))
+        return F.array_join(F.concat(gaps, F.array(tail)), mark)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(pieces, rebuilt)

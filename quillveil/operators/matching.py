@@ -1,8 +1,9 @@
 """Matches of rules in pages of text, as rows with their spans.
 
 Pages are (doc_id, page, text). Rules of our own run inside the JVM; user
-patterns run in Arrow batches on Python's `regex`, under one deadline for the
-whole query, since nothing in the JVM stops a pattern that backtracks.
+patterns run in Arrow batches on Python's `regex`, since nothing in the JVM stops
+a pattern that backtracks. Their budget is time spent matching, by each task: it
+neither runs while nothing is matched nor depends on when the query was built.
 """
 
 from __future__ import annotations
@@ -67,15 +68,48 @@ def _native_hits(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return pages.select("doc_id", "page", F.explode(spans).alias("hit")).select("doc_id", "page", "hit.*")
 
 
-def _regex_hits(pages: DataFrame, rules: list[Rule], budget: float) -> DataFrame:
-    deadline = time.time() + budget
+def _line_pairs(view: str) -> Iterator[tuple[int, int, int, str]]:
+    """Each line that is not blank with the next such line: starts of both, length of the first, and the two joined by a blank."""
+    at, last = 0, None
+    for line in view.split("\n"):
+        if line.strip():
+            if last is not None:
+                yield last[0], at, len(last[1]), f"{last[1]} {line}"
+            last = (at, line)
+        at += len(line) + 1
+
 
+def _regex_hits(pages: DataFrame, rules: list[Rule], budget: float) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         from quillveil.functions.folding import fold_with_map
 
         compiled = [(r, regex.compile(r.pattern, regex.V0 | regex.UNICODE | (regex.IGNORECASE if r.ignore_case else 0))) for r in rules]
+        left = budget
+
+        def matches(r: Rule, p, view: str) -> list[tuple[int, int]]:
+            nonlocal left
+            began = time.perf_counter()
+            try:
+                if left <= 0:
+                    raise TimeoutError
+                return [m.span() for m in p.finditer(view, timeout=left)]
+            except TimeoutError as e:
+                raise PatternTimeout(f"pattern {r.pattern!r} used up the budget of {budget} s") from e
+            finally:
+                left -= time.perf_counter() - began
+
+        def found_in(r: Rule, p, view: str) -> list[tuple[int, int]]:
+            spans = matches(r, p, view)
+            if r.multiline and "\n" in view:
+                # A match that goes on in the next line, whatever parts the two.
+                seen = set(spans)
+                for first, second, cut, pair in _line_pairs(view):
+                    seen |= {(first + s, second + e - cut - 1) for s, e in matches(r, p, pair) if s < cut and e > cut + 1}
+                spans = sorted(seen)
+            return spans
+
         for b in batches:
             rows = []
             for doc, page, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
@@ -85,15 +119,9 @@ def _regex_hits(pages: DataFrame, rules: list[Rule], budget: float) -> DataFrame
                     if r.pages is not None and page not in r.pages:
                         continue
                     view, bounds = folded if r.ignore_accents else (text, None)
-                    left = deadline - time.time()
-                    try:
-                        if left <= 0:
-                            raise TimeoutError
-                        found = list(p.finditer(view, timeout=left))
-                    except TimeoutError as e:
-                        raise PatternTimeout(f"pattern {r.pattern!r} used up the budget of {budget} s") from e
-                    for m in found:
-                        s, e = (m.start(), m.end()) if bounds is None else (bounds[m.start()], bounds[m.end()])
+                    for s, e in found_in(r, p, view):
+                        if bounds is not None:
+                            s, e = bounds[s], bounds[e]
                         rows.append((doc, page, r.rule_id, r.kind, s, e, text[s:e]))
             types = [b.column(0).type, b.column(1).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -104,7 +132,10 @@ def _regex_hits(pages: DataFrame, rules: list[Rule], budget: float) -> DataFrame
 
 
 def find_hits(pages: DataFrame, rules: list[Rule], budget: float = BUDGET_SECONDS) -> DataFrame:
-    """(doc_id, page, rule_id, kind, start, end, match) of every match, empty ones included."""
+    """(doc_id, page, rule_id, kind, start, end, match) of every match, empty ones included.
+
+    budget: seconds that the user patterns of each task may take.
+    """
     native, user = [r for r in rules if r.native], [r for r in rules if not r.native]
     parts = ([_native_hits(pages, native)] if native else []) + ([_regex_hits(pages, user, budget)] if user else [])
     if not parts:
@@ -132,16 +163,32 @@ def pair_hits(pairs: DataFrame, rules: Rule | list[Rule], budget: float = BUDGET
     return hits.select("doc_id", "page", "rule_id", "kind", "line_no", "next_no", left.alias("left_span"), right.alias("right_span")).distinct()
 
 
-def documents_with_literals(pages: DataFrame, literals: dict[int, str]) -> DataFrame:
-    """(doc_id, page, literal_id) where a page holds a literal: one automaton finds all of a request's literals in one pass."""
+#: Bound of a request's literals, which every task holds.
+MOST_LITERAL_BYTES = 64 << 20
+
+
+def collected_literals(literals: DataFrame) -> dict[int, list[str]]:
+    """(literal_id, text) rows of a request, by id; an error if they exceed their bound."""
+    size = literals.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_LITERAL_BYTES:
+        raise ValueError(f"the literals have {size} bytes; every task holds them, so at most {MOST_LITERAL_BYTES} are taken")
+    out: dict[int, list[str]] = {}
+    for r in literals.select("literal_id", "text").distinct().collect():
+        out.setdefault(r.literal_id, []).append(r.text)
+    return out
+
+
+def documents_with_literals(pages: DataFrame, literals: DataFrame) -> DataFrame:
+    """(doc_id, page, literal_id) where a page holds one of the literals (literal_id, text): one automaton finds all of a request's literals in one pass."""
+    by_id = collected_literals(literals)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         by_text: dict[str, list[int]] = {}
-        for key, text in literals.items():
-            if text:
+        for key, texts in by_id.items():
+            for text in filter(None, texts):
                 by_text.setdefault(text, []).append(key)
         for text, keys in by_text.items():
             automaton.add_word(text, keys)

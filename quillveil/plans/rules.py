@@ -9,7 +9,7 @@ from typing import Literal
 import regex
 
 from quillveil.functions import detectors as D
-from quillveil.functions.folding import fold, fold_pattern, has_welded_letters, literal_pattern
+from quillveil.functions.folding import MARKS, fold_pattern, fold_with_map, has_welded_letters, literal_pattern
 
 MOST_RECTS = 500
 
@@ -53,18 +53,19 @@ def page_scope(pages: list[int] | None) -> tuple[int, ...] | None:
 def search_rule(query: str, rule_id: str = "search", case_sensitive: bool = False, whole_word: bool = True, ignore_accents: bool = True, pages: list[int] | None = None) -> Rule:
     """Exact text. White space between its words is flexible; welded letters match their glyph.
 
-    Whole words are not preceded or followed by a word character. A query that
-    needs neither words, accents nor glyphs keeps its literal, so a scan can
-    look for that first.
+    Whole words are not preceded or followed by a word character. Where accents
+    do not count, letters match with any combining marks after them, so composed
+    and decomposed text are found alike. A query that needs neither words,
+    accents nor glyphs keeps its literal, so a scan can look for that first.
     """
     query = query.strip()
     if not query:
         raise RequestError("invalid_query", "the query is empty")
-    text = fold(query) if ignore_accents else query
-    body = r"\s+".join(literal_pattern(t) for t in text.split())
+    text = fold_with_map(query)[0] if ignore_accents else query
+    body = r"\s+".join(literal_pattern(t, MARKS if ignore_accents else "") for t in text.split())
     if whole_word:
         body = rf"(?<!\w){body}(?!\w)"
-    plain = not has_welded_letters(text) and len(text.split()) == 1
+    plain = not ignore_accents and not has_welded_letters(text) and len(text.split()) == 1
     return Rule(rule_id, "search", body, True, not case_sensitive, ignore_accents, True, page_scope(pages), text if plain else None)
 
 

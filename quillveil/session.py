@@ -23,19 +23,33 @@ def get_session(master: str = "local[*]", app: str = "quillveil", **conf: str) -
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what `spark.checkpoint.dir` names. Only where that is unset, as in tests,
-    is a local temporary folder taken, and it becomes the setting of the session.
+    It is what `spark.checkpoint.dir` names. Only where that is unset and Spark runs
+    in local mode, as in tests, is a local temporary folder taken, and it becomes
+    the setting of the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillveil-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: What this process wrote, in order, by application.
+_written: dict[str, list[str]] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application alone uses."""
+    return f"{scratch_dir(spark)}/quillveil/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder."""
-    return f"{scratch_dir(spark)}/quillveil/{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -50,12 +64,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete what `materialize` wrote; call it once results are consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quillveil")
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """`materialize`, and then delete everything else that this application wrote: for results that stand on their own, such as a stage's."""
+    out = materialize(df, tag)
+    written = _written[df.sparkSession.sparkContext.applicationId]
+    for path in written[:-1]:
+        _delete(df.sparkSession, path)
+    del written[:-1]
+    return out
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote; call it once results are consumed. Other applications on the same folder keep theirs."""
+    _written.pop(spark.sparkContext.applicationId, None)
+    _delete(spark, _own_folder(spark))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size of a plan's result as the optimizer sees it; a scan's is that of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

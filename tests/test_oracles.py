@@ -34,8 +34,19 @@ def test_oracle(spark, small, con, name):
     assert sorted(tuple(plain(v) for v in r) for r in df.select(*columns).collect()) == want
 
 
-def test_rows_only(spark, small):
-    assert catalog.queries()["regex_user_rule"](spark, small).count() >= 0
+def test_user_patterns(spark, small):
+    """The rows without SQL are those of the patterns' own engine, text by text."""
+    import regex
+
+    from quillveil.catalog.texts import USER_PATTERNS
+
+    want = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
+        for i, p in enumerate(USER_PATTERNS):
+            if n := sum(1 for _ in regex.finditer(p, r.text or "", flags=regex.V0 | regex.IGNORECASE)):
+                want[r.doc_id, f"regex:{i}"] = n
+    got = {(r.doc_id, r.rule_id): r.n_hits for r in catalog.queries()["regex_user_rule"](spark, small).collect()}
+    assert got == want and len({k for _, k in want}) == len(USER_PATTERNS)
 
 
 def test_entry(spark):

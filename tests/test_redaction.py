@@ -76,6 +76,47 @@ def test_merge_and_cut(spark):
     assert [(s.start, s.end) for s in r.m] == [(0, 3), (4, 9)] and r.t == "_3_9"
 
 
+def test_merge_and_cut_many(spark):
+    """Against a plain loop, for many spans in any order and a long text."""
+    import random
+
+    rng = random.Random(3)
+    for n, size in ((0, 10), (1, 10), (300, 20_000), (3000, 60_000)):
+        text = "".join(rng.choice("abé😀") for _ in range(size))
+        raw = [(a, min(size, a + rng.choice((0, 1, 5, 40)))) for a in (rng.randrange(size) for _ in range(n))]
+        want = []
+        for a, b in sorted(raw):
+            if want and a <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        df = spark.createDataFrame([(text, raw)], "t string, s array<struct<start:int,end:int>>")
+        r = df.select(merge_spans(F.col("s")).alias("m"), "t").select("m", cut_spans(F.col("t"), F.col("m"), "_").alias("out")).first()
+        assert [(x.start, x.end) for x in r.m] == [tuple(x) for x in want]
+        parts, at = [], 0
+        for a, b in want:
+            parts.append(text[at:a])
+            at = b
+        assert r.out == "_".join([*parts, text[at:]])
+
+
+def test_scope_beyond_the_last_page(spark):
+    pages = spark.createDataFrame([(1, 0, "a"), (1, 1, "a")], SCHEMA)
+    request = lambda p: parse_request({"search": {"query": "a", "scope": {"pages": [p]}}})
+    assert run_request(pages, request(1)).verdict.count() == 1
+    with pytest.raises(RequestError, match="99999") as e:
+        run_request(pages, request(99999))
+    assert e.value.code == "invalid_scope"
+
+
+def test_decomposed_name_cannot_pass(spark):
+    pages = spark.createDataFrame([(1, 0, "Le\u0301o")], SCHEMA)
+    out = redact(pages, [search_rule("Leo")])
+    assert out.redacted.first().text == "" and out.verdict.first().status == "pass"
+    left = redact(pages, [search_rule("zzz")], [search_rule("Leo")])
+    assert left.verdict.first().status == "fail"
+
+
 def test_html(spark):
     page = '<title>T</title><meta a><!-- c --><nav>n</nav><p onclick="x()" id=q>Text <a href="u">here</a></p><script>s</script><img alt="secret" src="data:image/png;base64,AAAA">'
     r = spark.createDataFrame([(page,)], "h string").select(sanitized(F.col("h")).alias("s"), visible_text(F.col("h")).alias("v")).first()

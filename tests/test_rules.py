@@ -27,6 +27,31 @@ def test_accents_both_ways(spark):
     assert matches(spark, "Léo", regex_rules("léo")) == ["Léo"]
 
 
+def test_decomposed_accents(spark):
+    """Letters with their marks apart are found, and go with their marks."""
+    text = "e\u0301te\u0301 été ete"
+    assert matches(spark, text, [search_rule("ete")]) == sorted(["e\u0301te\u0301", "été", "ete"])
+    assert matches(spark, text, [search_rule("e\u0301té")]) == sorted(["e\u0301te\u0301", "été", "ete"])
+    assert matches(spark, "Le\u0301ox Le\u0301o", [search_rule("Leo")]) == ["Le\u0301o"]
+    assert matches(spark, "cœ\u0301ur co\u0301eur", [search_rule("cœur")]) == sorted(["cœ\u0301ur", "co\u0301eur"])
+
+
+def test_multiline_user_pattern(spark):
+    text = "Jean\n\nDupont x\nJean Dupont"
+    assert matches(spark, text, regex_rules("Jean Dupont")) == ["Jean Dupont"]
+    assert matches(spark, text, regex_rules("Jean Dupont", multiline=True)) == ["Jean\n\nDupont", "Jean Dupont"]
+    assert matches(spark, "a\nb\nc", regex_rules("a b c", multiline=True)) == []
+
+
+def test_budget_is_time_spent_matching(spark):
+    """Two actions on one DataFrame agree however long it was left alone, and a table may take longer than the budget."""
+    pages = spark.createDataFrame([(1, 0, "a1 b2")], "doc_id bigint, page int, text string")
+    hits = find_hits(pages, regex_rules(r"(?<=b)\d"), budget=0.5)
+    assert hits.count() == 1
+    time.sleep(0.7)
+    assert hits.count() == 1
+
+
 def test_case_and_space(spark):
     assert matches(spark, "Jean  Dupont jean\ndupont", [search_rule("jean dupont")]) == ["Jean  Dupont", "jean\ndupont"]
     assert matches(spark, "The the", [search_rule("The", case_sensitive=True)]) == ["The"]
