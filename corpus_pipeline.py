@@ -3,7 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; `run` writes the
 result of each as Parquet in the shared folder and reads it as the next one's
 docs, so no stage is worked out twice and a lost executor costs one stage at
-most. All but the last give the columns of documents.
+most, and deletes what the stage wrote on its way. All but the last give the
+columns of documents.
+
+Defined results, for every stage: columns beside the id and the text pass
+through, whatever their names (the last returns pieces); an empty table gives an
+empty one; texts of any length are worked on in whole. A null or empty text goes
+in the first stage; given to a later one it is kept as it is, and packed as the
+end id alone. Rows that repeat an id are judged each by the first stage; the
+second keeps one row of each id and component; the third takes rows that repeat
+id and text for one document and cuts them alike; the fourth packs every row.
+Rows without id are kept by every stage that keeps their text, and come first
+where order decides. Of near duplicates the smallest id stays.
 """
 
 from __future__ import annotations
@@ -16,7 +27,7 @@ from quillveil.llm.packing import pack_documents
 from quillveil.llm.quality import apply_rules
 from quillveil.llm.queries import tokenizer_path
 from quillveil.llm.suffix_dedup import remove_repeats
-from quillveil.session import materialize
+from quillveil.session import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
