@@ -315,8 +315,8 @@ def _linked(docs: DataFrame, threshold: Fraction, recall: float, words: int, id_
     # Candidates go by a hash of the class; classes that share it only become candidates.
     classes = materialize(grouped.select("class", F.xxhash64("class").alias("cid"), "rep.doc", "rep.t", "copies", "n", "bands"), "jaccard-classes")
 
-    placed = materialize(_placed(classes), "jaccard-placed")
-    known = placed.join(classes.select("class", "doc", "t", "copies", "bands"), "class")
+    # Written, so that its size is known: texts need not move where it is small enough to be broadcast.
+    known = materialize(_placed(classes).join(classes.select("class", "doc", "t", "copies", "bands"), "class"), "jaccard-placed")
     texts = known.join(source, ["doc", "t"]).select("class", "bands", "copies", "band", "group", "chunk", "chunks", "text")
     keys = ("band", "group", "a", "b")
     bundles = texts.mapInArrow(tidy(_bundle), "band int, group bigint, a int, b int, side int, data binary").repartition(partitions_for(docs), *keys).sortWithinPartitions(*keys)
