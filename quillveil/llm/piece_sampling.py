@@ -19,8 +19,10 @@ U+2581 stands for a blank in pieces; where a text holds it itself, it is
 encoded as bytes, so decoding gives every text back.
 
 Defined results: a null or empty text has no pieces and decodes to the empty
-text; rows that repeat an id share its randomness; a row without id takes that
-of id 0; long texts are worked on in blocks; further columns are ignored.
+text; rows that repeat an id share its randomness, so repeated rows are alike; a
+row without id takes that of id 0; ids that are no whole numbers go by their
+hash; long texts are worked on in blocks, a long segment in whole; an empty
+table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,9 +194,10 @@ class Lattice:
         first = np.cumsum(count, dtype=np.int64) - count
         back = node - width_
         weight = np.where(piece_ >= 0, self.by_id[piece_], self.rare**width_)
-        forward, power = [0.0] * (n + 1), [0] * (n + 1)
+        f, e = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        forward, power = memoryview(f), memoryview(e)
         forward[0], now, j, total = 1.0, 0, 0, 0.0
-        for at, to, w in zip(node.tolist(), back.tolist(), weight.tolist(), strict=True):
+        for at, to, w in zip(memoryview(node), memoryview(back), memoryview(weight), strict=True):
             if at != j:
                 if total and not 1e-100 < total < 1e100:
                     now += math.frexp(total)[1]
@@ -202,7 +205,6 @@ class Lattice:
             # A node's sum is forward * 2 ** power; powers of nodes in reach differ by little.
             total += w * (forward[to] if power[to] == now else math.ldexp(forward[to], power[to] - now))
             forward[at], power[at] = total, now
-        f, e = np.array(forward), np.array(power)
         share = np.ldexp(f[back] * weight, e[back] - e[node]) / f[node]
         run = np.cumsum(share)
         full = np.flatnonzero(count)
@@ -221,6 +223,10 @@ class Lattice:
         _, pick, entry = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         last, first, count, back, width_, piece_, run = self.filter(data, starts[pick], ends[pick])
         node, pos, place = last[entry], ends.copy(), place.astype(np.uint64)
+        long = ends - starts > _SHORT
+        for i in np.flatnonzero(long).tolist():
+            self._sample_long(data, out, int(starts[i]), int(ends[i]), int(node[i]), key[i], place[i], first, width_, piece_, run)
+        node, pos, place, key = node[~long], pos[~long], place[~long], key[~long]
         while len(node):
             u = (mix(key ^ mix(place)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge = first[node]
@@ -242,6 +248,24 @@ class Lattice:
                 node, pos, place, key = node[live], pos[live], place[live], key[live]
         return out
 
+    def _sample_long(self, data: np.ndarray, out: np.ndarray, s: int, end: int, node: int, key, place, first, width_, piece_, run) -> None:
+        """The same for one long segment, step by step."""
+        n = end - s
+        places = place - np.uint64(n) + np.arange(1, n + 1, dtype=np.uint64)
+        u = memoryview((mix(key ^ mix(places)) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+        first, width, piece, run, ids = (memoryview(x) for x in (first[node - n : node + 1], width_, piece_, run, out))
+        at = n
+        while at:
+            x, edge = u[at - 1], first[at]
+            while run[edge] <= x:
+                edge += 1
+            at -= width[edge]
+            if piece[edge] >= 0:
+                ids[s + at] = piece[edge]
+            else:
+                for k in range(s + at, s + at + width[edge]):
+                    ids[k] = int(self.byte_ids[data[k]])
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the pieces, with the dummy blank."""
         size = self.piece_size[ids]
@@ -272,7 +296,7 @@ class _Maker:
 
 
 def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
-    """Randomness of each row, from its id."""
+    """Randomness of each row, from a whole number."""
     n = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.uint64)
     return mix(mix(n + np.uint64(0x2545F4914F6CDD1D)) ^ np.uint64(seed & (2**64 - 1)))
 
@@ -325,7 +349,7 @@ def sample_pieces(docs: DataFrame, model_path: str, seed: int = SEED, alpha: flo
         for b in batches:
             data, off = buffers(b.column(1))
             size, rows, held, fine, n = np.diff(off), [], [], [], 0
-            for i, ids, ok in sampled_documents(lattice, row_keys(b.column(0), seed), data, off):
+            for i, ids, ok in sampled_documents(lattice, row_keys(b.column(2), seed), data, off):
                 rows.append(i)
                 held.append(ids)
                 fine.append(bool(ok))
@@ -337,7 +361,9 @@ def sample_pieces(docs: DataFrame, model_path: str, seed: int = SEED, alpha: flo
                 yield out(b, size, rows, held, fine)
 
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(0).cast("long"))
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), key.alias("_key"))
     return source.mapInArrow(tidy(run, True), f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, lossless boolean")
 
 
