@@ -20,8 +20,10 @@ unique per task and the scan's splits are deterministic, so a lost task
 yields the same windows when it runs again.
 
 Defined results: a null text counts as empty and holds the end id alone;
-repeated rows and ids are packed each; an empty table gives no row; further
-columns of the input are ignored.
+repeated rows and ids, and rows without id, are packed each; rows are taken as
+they come, and what is gathered from several tasks by task, id, place and
+content, so ties have one order; long texts are encoded in blocks and cut over
+windows; an empty table gives no row; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -188,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, t
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(second + (int(key[0]) << 32), tiers)
-        for r in pdf.sort_values(["sequence_id", "_doc", "start"]).itertuples(index=False):
+        for r in pdf.sort_values(["sequence_id", "_doc", "start", "_ids"]).itertuples(index=False):
             packer.add(None if pd.isna(r[0]) else r[0], int(r.start), np.frombuffer(r[9], "<u4"), int(r.doc_tokens))
         packer.finish()
         packer.finish_at_powers()

@@ -13,10 +13,11 @@ windows whose high bits agree are then compared in full. Texts too long for the
 place bits take the full comparison throughout.
 
 Defined results: a null or empty text has no words, all counts are 0, it fails
-the base rule; repeated rows are judged each; equal lines count from their
-second appearance; `apply_rules` keeps all columns of its input, and a
-column of the same name as a measure is not touched, as measures live in
-one struct.
+the base rule; repeated rows and ids are judged each, rows without id too; equal
+lines count from their second appearance; no text is too long; a measure equal
+to a bound passes; an empty table gives no row; `apply_rules` keeps all columns
+of its input, and a column of the same name as a measure is not touched, as
+measures live in one struct.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class Rule:
 
 #: The threshold table. Ratios are to words, characters or lines, as `measures` says.
 RULES = (
-    Rule("n_words", 50, 1_000_000),
+    Rule("n_words", 50, None),
     Rule("mean_word_chars", 2.0, 14.0),
     Rule("symbol_ratio", None, 0.10),
     Rule("mark_ratio", None, 0.20),
