@@ -165,6 +165,36 @@ def test_files(docs, odd, none, word_ids, tokenizer):
     assert token_files(none, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_files_of_repeated_ids(spark, word_ids, tokenizer):
+    """Rows that share an id, or have none, keep a row each; starts follow the order of the files, whatever share one id has."""
+    texts = [f"text number {i} " * (i % 7) for i in range(60)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts)] + [(5, texts[1])] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted(token_files(df, tokenizer("word_bpe_49k.json")).collect(), key=lambda r: r.start)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(word_ids(t)), crc(word_ids(t))) for i, t in rows)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.concatenate(([0], np.cumsum([r.n_tokens for r in got])[:-1])).tolist()
+
+
+def test_long_texts(spark, word_ids, tokenizer, pieces):
+    """Texts of several blocks, with and without blanks, in files and in windows."""
+    rows = [(1, "word " * 600_000), (2, "a,b;" * 5000), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_files(df, word_ids, tokenizer)
+    check_packing(df, word_ids, tokenizer)
+
+
+def test_packing_of_repeated_ids(spark, word_ids, tokenizer):
+    """Rows that repeat an id or have none are packed each, every id of theirs once, and ties come out alike."""
+    rows = [(i % 3 or None, f"some words {i % 5} " * (i % 40)) for i in range(90)] + [(1, "same")] * 4
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40)
+    key = lambda r: (str(r.doc_id), r.start, r.length, r.ids_crc32, r.sequence_id, r.offset)
+    made = sorted(pack_documents(df, tokenizer("word_bpe_49k.json")).collect(), key=key)
+    assert sum(r.length for r in made) == sum(len(word_ids(t)) for _, t in rows)
+    assert sum(1 for r in made if r.start == 0) == len(rows)
+    assert list(map(key, made)) == sorted(map(key, pack_documents(df, tokenizer("word_bpe_49k.json")).collect()))
+
+
 def test_file_reads_one_document(spark, docs, rows, word_ids, tokenizer, tmp_path):
     write_ids(docs, f"{tmp_path}/ids", tokenizer("word_bpe_49k.json"), files=3)
     i, t = rows[17]
@@ -240,6 +270,37 @@ def test_sampling(docs, odd, none, pieces, tokenizer):
     assert sample_pieces(none, tokenizer("piece_bpe_32k.model")).count() == 0
 
 
+def test_sampling_cases(spark, tokenizer):
+    """Repeated ids share their randomness, null takes that of 0, ids may be texts, long texts and segments come back."""
+    path = tokenizer("piece_bpe_32k.model")
+    df = spark.createDataFrame([(0, "the same words"), (None, "the same words"), (7, "the same words"), (7, "the same words"), (8, "words of a page " * 150_000), (9, "ab" * 3000)], "doc_id bigint, text string")
+    got = sample_pieces(df, path).collect()
+    assert all(r.lossless for r in got) and got[0].ids == got[1].ids and got[2].ids == got[3].ids and got[0].ids != got[2].ids
+    named = sample_pieces(df.selectExpr("cast(doc_id AS string) AS doc_id", "text").filter("doc_id is null or doc_id < '8'"), path)
+    assert named.filter("lossless").count() == 4
+
+
+def test_long_segments_are_drawn_like_short_ones(tokenizer, monkeypatch):
+    """The two ways of filtering give the same segmentations, and a long segment takes time in proportion."""
+    import time
+
+    import quillveil.llm.piece_sampling as P
+
+    lattice = P.Lattice(tokenizer("piece_bpe_32k.model"))
+    data = np.frombuffer("interesting abababab strasse été 😀x the    end internationalisation".encode(), np.uint8)
+    off = np.array([0, len(data)])
+    drawn = lambda: [P.sampled_documents(lattice, np.array([k], np.uint64), data, off).__next__()[1].tolist() for k in range(40)]
+    want = drawn()
+    monkeypatch.setattr(P, "_SHORT", 0)
+    assert drawn() == want
+    monkeypatch.undo()
+    for text, most in (("ab" * 200_000, 9), ("".join(chr(0x4E00 + i * i % 9000) for i in range(300_000)), 3)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        began = time.process_time()
+        assert next(P.sampled_documents(lattice, np.array([3], np.uint64), raw, np.array([0, len(raw)])))[2]
+        assert time.process_time() - began < most * len(raw) / 1e6
+
+
 def test_sampling_follows_the_lattice(spark, tokenizer):
     """Frequencies of segmentations of one word are those of all its paths."""
     from quillveil.llm.piece_sampling import ALPHA, Lattice
