@@ -139,6 +139,7 @@ class Request:
     options: Options = field(default_factory=Options)
     acknowledged_regions: list[tuple[int, float, float, float, float]] = field(default_factory=list)
     acknowledged_font_pages: list[int] = field(default_factory=list)
+    password: str | None = None
 
     @property
     def textual(self) -> bool:
@@ -217,7 +218,7 @@ def parse_request(payload: str | dict) -> Request:
     for r in top.get("acknowledged_regions", []):
         part = _strict(r, _PARTS["region"], "region")
         regions.append((part["page"], *map(float, part["bbox"])))
-    return Request([_rect(r) for r in top.get("rects", [])], [_rect(r | dict.fromkeys(("x0", "y0", "x1", "y1"), 0.0) if "x0" not in r else r)[0] for r in top.get("full_page_rects", [])], rules, bans, options, regions, list(top.get("acknowledged_font_pages", [])))
+    return Request([_rect(r) for r in top.get("rects", [])], [_rect(r | dict.fromkeys(("x0", "y0", "x1", "y1"), 0.0) if "x0" not in r else r)[0] for r in top.get("full_page_rects", [])], rules, bans, options, regions, list(top.get("acknowledged_font_pages", [])), top.get("password"))
 
 
 def resolve_language(requested: str | None, available: list[str]) -> str | None:
