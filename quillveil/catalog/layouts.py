@@ -11,6 +11,7 @@ from quillveil.operators.apply import redact_glyphs, redact_images
 from quillveil.operators.layout import document_lines, grid_glyphs, grid_words, letterspaced_runs, lines_of, match_boxes, nearest_next_lines, partial_word_boxes
 from quillveil.operators.matching import find_hits
 from quillveil.operators.plan import bucket_counts, dedupe, merge_ranges, over_cap
+from quillveil.operators.proposals import propose
 from quillveil.operators.unread import covered_parts, image_regions, review_groups, unacknowledged_fonts, unacknowledged_regions, uncovered_fonts, uncovered_regions, unreliable_fonts
 from quillveil.plans.rules import preset_rules
 from quillveil.session import materialize
@@ -76,6 +77,15 @@ def match_word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_boxes(hits, words).select("doc_id", "line_no", F.col("hit_id").alias("start_at"), "x0", "x1", "horizontal")
 
 
+def proposals_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses in recognised words, mapped from the image to the page."""
+    lines = document_lines(table(spark, sf_dir, "documents"))
+    words = grid_words(lines.join(lines.filter(F.contains("text", F.lit("@"))).select("doc_id").distinct(), "doc_id", "left_semi"))
+    places = words.select("doc_id", "page").distinct().withColumn("transform", F.array(*[F.lit(x) for x in (0.5, 0.0, 0.0, 0.5, 100.0, 200.0)]))
+    found = propose(words, places, preset_rules(["email"]))
+    return found.groupBy("doc_id", "x0", "x1", "y0").agg(F.count("*").alias("n"), F.max("bucket").alias("bucket"))
+
+
 _LINES = r"""(SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(l[i], '\s+', ' ', 'g')) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"""
 _BOX_SQL = f"""SELECT doc_id, line_no::INTEGER AS line_no, start_at, 6.0::DOUBLE * (start_at - length(regexp_extract(substr(text, 1, start_at), '[^ ]*$'))) AS x0,
  6.0::DOUBLE * (end_at + length(regexp_extract(substr(text, end_at + 1), '^[^ ]*'))) AS x1, true AS horizontal FROM ({spans_sql(_LINES, EMAIL_SQL, 'doc_id, line_no')})"""
@@ -306,6 +316,7 @@ _MANY_SQL = """SELECT y0, count(*) AS n_left FROM (SELECT (i % 300 * 2)::DOUBLE
 
 
 ENTRIES = {
+    "proposals_from_words": Entry(proposals_from_words, f"SELECT doc_id, x0 * 0.5::DOUBLE + 100 AS x0, x1 * 0.5::DOUBLE + 100 AS x1, line_no * 7.0::DOUBLE + 200 AS y0, count(*) AS n, 'ocr' AS bucket FROM (SELECT DISTINCT * FROM ({_BOX_SQL})) GROUP BY ALL"),
     "dense_page_lines": Entry(dense_page_lines, "SELECT i::INTEGER AS line_no, (i + 1)::INTEGER AS next_no FROM range(2999) t(i)"),
     "many_rectangles": Entry(many_rectangles, _MANY_SQL),
     "letterspace_runs": Entry(letterspace_runs, f"SELECT doc_id, count(*) FILTER (WHERE glued) AS n_glued, count(*) AS n_words FROM ({_RUNS_SQL}) GROUP BY doc_id"),

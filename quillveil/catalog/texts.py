@@ -15,7 +15,8 @@ from quillveil.operators.apply import redact_native, redact_text
 from quillveil.operators.audit import with_evidence
 from quillveil.operators.layout import document_lines
 from quillveil.operators.matching import documents_with_literals, find_hits, next_lines, pair_hits
-from quillveil.plans.rules import Rule, preset_rules, regex_rules, search_rule
+from quillveil.plans.redaction import run_request
+from quillveil.plans.rules import Rule, parse_request, preset_rules, regex_rules, search_rule
 
 
 def _hits(pages: DataFrame, *rules: Rule) -> DataFrame:
@@ -191,6 +192,28 @@ def regex_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_hits(documents(spark, sf_dir), rules, budget=600.0).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
 
 
+def regex_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user pattern whose accents do not count, neither in it nor in the text."""
+    return find_hits(documents(spark, sf_dir), regex_rules(r"ci[oó]n\b"), budget=600.0).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+
+
+def regex_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user pattern bound to whole words."""
+    return find_hits(documents(spark, sf_dir), regex_rules("de|la", ignore_accents=False, whole_word=True), budget=600.0).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+
+
+def banned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request with a detector and a list of banned strings, found as parts of words and in their own case."""
+    out = run_request(documents(spark, sf_dir), parse_request({"presets": {"keys": ["email", "credit_card"]}, "audit": {"patterns": ["License"]}, "options": {"image_regions": "ignore"}}))
+    return out.verdict.select("doc_id", "status", F.array_join("components_failed", ",").alias("failed"))
+
+
+def pages_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request that empties the second page of each document."""
+    out = run_request(turns(spark, sf_dir), parse_request({"full_page_rects": [{"page": 1}]}))
+    return out.redacted.select("doc_id", "page", F.md5("text").alias("digest"))
+
+
 def regex_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern that backtracks for ever ends with its budget of a second; the row says that it did."""
     pages = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("page"), F.lit("a" * 40 + "!").alias("text"))
@@ -239,6 +262,10 @@ ENTRIES = {
         rf"SELECT * FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '{BREAK_SQL}+'), lambda x: starts_with(x, 'de') AND length(x) > 2 AND NOT ends_with(x, 'e'))) AS n_hits FROM documents) WHERE n_hits > 0",
     ),
     "regex_over_lines": Entry(regex_over_lines, f"SELECT doc_id, len(regexp_extract_all(t, '[.][ \n][A-Z]')) AS n_hits FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM ({_RAW_LINES_SQL}) GROUP BY doc_id) WHERE regexp_matches(t, '[.][ \n][A-Z]')"),
+    "regex_folded": Entry(regex_folded, rf"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(strip_accents(text), '(?i)cion(?:$|{BREAK_SQL})')) AS n_hits FROM documents) WHERE n_hits > 0"),
+    "regex_whole_word": Entry(regex_whole_word, rf"SELECT * FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '{BREAK_SQL}+'), lambda x: x IN ('de', 'la'))) AS n_hits FROM documents) WHERE n_hits > 0"),
+    "banned_text": Entry(banned_text, f"SELECT doc_id, CASE WHEN contains(r, 'License') THEN 'fail' ELSE 'pass' END AS status, CASE WHEN contains(r, 'License') THEN 'ban' ELSE '' END AS failed FROM (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '', 'g') AS r FROM documents)"),
+    "pages_emptied": Entry(pages_emptied, "SELECT conv_id AS doc_id, turn::INTEGER AS page, md5(CASE WHEN turn = 1 THEN '' ELSE text END) AS digest FROM conversations"),
     "regex_over_budget": Entry(regex_over_budget, "SELECT true AS ended_by_budget"),
     "rules_with_scope": Entry(
         rules_with_scope,
