@@ -290,7 +290,12 @@ UNION ALL SELECT 'b', turn::INTEGER, len(list_filter(regexp_split_to_array(lower
         "SELECT doc_id, CASE WHEN length(b) <= 6000 THEN md5(b) END AS digest, length(b) > 6000 AS truncated FROM (SELECT doc_id, translate(to_base64(encode('{\"doc_id\":' || doc_id || ',\"text\":\"' || text || '\"}')), '+/', '-_') AS b FROM documents)",
     ),
     "shortened_titles": Entry(shortened_titles, "SELECT doc_id, CASE WHEN length(t) > 56 THEN substr(t, 1, 55) || '…' ELSE t END AS title FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS t FROM documents)"),
-    "regex_user_rule": Entry(regex_user_rule),
+    "regex_user_rule": Entry(
+        regex_user_rule,
+        rf"""SELECT doc_id, 'regex:0' AS rule_id, count(*) AS n_hits FROM (SELECT doc_id, t[i] AS a, t[i + 1] AS b FROM (SELECT doc_id, t, unnest(range(2, len(t))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS t FROM documents)))
+ WHERE regexp_full_match(lower(a), '[\pL\pM\pN\p{{Pc}}]+ing') AND starts_with(lower(b), lower(substr(a, 1, length(a) - 3))) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'regex:1', n FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '{BREAK_SQL}+'), lambda x: (starts_with(x, 'de') OR starts_with(x, 'ré')) AND length(x) > 2 AND NOT ends_with(x, 'e'))) AS n FROM documents) WHERE n > 0""",
+    ),
     "detector_stream_rows": Entry(
         detector_stream_rows,
         f"SELECT doc_id, n::INTEGER AS n_hits, md5(r) AS digest, CASE WHEN regexp_matches(r, '{EMAIL_SQL}') THEN 'fail' ELSE 'pass' END AS status FROM (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '', 'g') AS r, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS n FROM documents)",
