@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str = "local[*]", app: str = "quillveil", **conf: str) -> SparkSession:
@@ -90,6 +91,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Written bytes up to which a side is broadcast.
+MOST_BROADCAST = 16 << 20
+
+
+def small_side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """The side of a join, marked for broadcast if its files show that it is small; for sides whose partner is wide. Written tables only."""
+    return F.broadcast(df) if plan_bytes(df) <= most else df
+
+
 def spread(df: DataFrame, key: str, least: int = 1 << 20, most_per_core: int = 16 << 20) -> DataFrame:
     """Deal a small table out to all cores by a key before work that the processors bound.
 
