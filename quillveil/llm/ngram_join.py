@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quillveil.llm.bytesops import ascii_words, bounded_batches, buffers, mix, row_blocks, span_hashes, text_blocks, tidy
 from quillveil.llm.components import connected_components
-from quillveil.session import materialize, partitions_for
+from quillveil.session import materialize, partitions_for, small_side
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -315,9 +315,9 @@ def _linked(docs: DataFrame, threshold: Fraction, recall: float, words: int, id_
     # Candidates go by a hash of the class; classes that share it only become candidates.
     classes = materialize(grouped.select("class", F.xxhash64("class").alias("cid"), "rep.doc", "rep.t", "copies", "n", "bands"), "jaccard-classes")
 
-    # Written, so that its size is known: texts need not move where it is small enough to be broadcast.
+    # Written, so that its size is known: texts do not move where it is small enough to be broadcast.
     known = materialize(_placed(classes).join(classes.select("class", "doc", "t", "copies", "bands"), "class"), "jaccard-placed")
-    texts = known.join(source, ["doc", "t"]).select("class", "bands", "copies", "band", "group", "chunk", "chunks", "text")
+    texts = small_side(known).join(source, ["doc", "t"]).select("class", "bands", "copies", "band", "group", "chunk", "chunks", "text")
     keys = ("band", "group", "a", "b")
     bundles = texts.mapInArrow(tidy(_bundle), "band int, group bigint, a int, b int, side int, data binary").repartition(partitions_for(docs), *keys).sortWithinPartitions(*keys)
     found = materialize(bundles.mapInArrow(tidy(_verify(threshold, words)), "class binary, links bigint, root binary"), "jaccard-links")
@@ -352,10 +352,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, recal
     gone = verdict.filter("NOT stays").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"))
     repeats = verdict.filter("stays AND doc IS NOT NULL").groupBy("doc", "root").agg(F.count("*").alias("n"), F.min("t").alias("t"))
     if repeats.filter("n > 1").isEmpty():
-        return safe.join(materialize(gone.distinct(), "jaccard-gone"), (key == F.col("_doc")) & (text == F.col("_t")), "left_anti").toDF(*names)
+        return safe.join(small_side(materialize(gone.distinct(), "jaccard-gone")), (key == F.col("_doc")) & (text == F.col("_t")), "left_anti").toDF(*names)
     # Rows that repeat an id: of those in one component one text stays, once.
     first = materialize(repeats.select(F.col("doc").alias("_doc"), F.col("t").alias("_t")).distinct(), "jaccard-first")
-    named = safe.filter(key.isNotNull()).join(first, (key == F.col("_doc")) & (text == F.col("_t")), "left_semi")
+    named = safe.filter(key.isNotNull()).join(small_side(first), (key == F.col("_doc")) & (text == F.col("_t")), "left_semi")
     named = named.withColumn("_t", text).dropDuplicates([f"c{names.index(id_col)}", "_t"]).drop("_t")
     return named.unionByName(safe.filter(key.isNull())).toDF(*names)
 
