@@ -38,6 +38,7 @@ needed pass through `remove_repeats` unchanged, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +55,8 @@ GRAM = 24
 PERIOD = 16
 HOT = 64
 MANY = 4096
-BUCKET_BYTES = 8 << 20
-GROUP_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 _CHUNK = 1 << 19
 _PART = 1 << 18
 _BLOCK = 4 << 20
@@ -70,14 +71,18 @@ COVERED, ANCHORS, SPLIT_REQUEST, REQUEST, SEGMENTS = range(5)
 # Columns of arrays in one compressed value ------------------------------------------------------------------------
 
 
+# A worker is one thread; making a compressor for each value takes longer than most values' compression.
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _freeze(*arrays: np.ndarray) -> bytes:
     """Arrays of any lengths, as one compressed byte string."""
-    head = np.array([len(arrays), *[v for a in arrays for v in (ord(a.dtype.char), len(a))]], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    head = struct.pack(f"<{2 * len(arrays) + 1}q", len(arrays), *[v for a in arrays for v in (ord(a.dtype.char), len(a))])
+    return _zip.compress(head + b"".join([a.tobytes() for a in arrays]))
 
 
 def _thaw(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _unzip.decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
     out, at = [], 8 + 16 * n
@@ -88,10 +93,6 @@ def _thaw(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _delta(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 class Docs:
     """Documents by number: id, tie-break, and bucket of each."""
 
@@ -120,10 +121,25 @@ def _by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(values[part[0]]), part
 
 
-def _pack(docs: Docs, doc: np.ndarray, *fields: np.ndarray) -> bytes:
-    """Rows that refer to documents, with the documents that they need."""
-    used, at = np.unique(doc, return_inverse=True)
-    return _freeze(_delta(docs.k[used]), docs.t[used], docs.group[used], _delta(at.astype("<i4")), *fields)
+def _packs(by: np.ndarray, docs: Docs, doc: np.ndarray, start: np.ndarray, *fields: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """For each value of `by`, its rows in order of document and start, packed with the documents that they need: value, positions, bytes.
+
+    All groups are sorted and numbered at once, as most hold few rows.
+    """
+    order = np.lexsort((start, doc, by))
+    if not len(order):
+        return
+    by, doc = by[order], doc[order]
+    new = np.concatenate(([True], by[1:] != by[:-1]))
+    used = new | np.concatenate(([True], doc[1:] != doc[:-1]))
+    of = doc[used]
+    k, t, group, step = docs.k[of], docs.t[of], docs.group[of], (used & ~new).astype("u1")
+    before = np.concatenate(([0], k[:-1]))
+    before[new[used]] = 0
+    k, rows = k - before, [start[order], *[f[order] for f in fields]]
+    cuts, heads = [*np.flatnonzero(new).tolist(), len(order)], [*np.flatnonzero(new[used]).tolist(), len(of)]
+    for value, lo, hi, a, b in zip(by[cuts[:-1]].tolist(), cuts, cuts[1:], heads, heads[1:], strict=False):
+        yield value, order[lo:hi], _freeze(k[a:b], t[a:b], group[a:b], step[lo:hi], *[r[lo:hi] for r in rows])
 
 
 def _unpack(values: list[bytes]) -> tuple[Docs, np.ndarray, list[np.ndarray]]:
@@ -137,9 +153,8 @@ def _unpack(values: list[bytes]) -> tuple[Docs, np.ndarray, list[np.ndarray]]:
 
 def _spans(docs: Docs, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Covered spans by document group."""
-    for group, at in _by(docs.group[doc]):
-        at = at[np.lexsort((start[at], doc[at]))]
-        yield group, _pack(docs, doc[at], start[at].astype("<u4"), size[at].astype("<u4"))
+    for group, _, data in _packs(docs.group[doc], docs, doc, start.astype("<u4"), size.astype("<u4")):
+        yield group, data
 
 
 # Anchors ----------------------------------------------------------------------------------------------------------
@@ -266,9 +281,8 @@ def _scan(n_buckets: int):
         keep = np.concatenate((stay[~is_hot], stay[is_hot][mark]))
         n = count.copy()
         n[stay[is_hot][mark]] = 0
-        for k, at in _by((bucket[keep] % np.uint64(n_buckets)).astype(np.int64)):
-            at = np.sort(keep[at])
-            rows.append((k, ANCHORS, 0, _pack(docs, doc[at], start[at].astype("<u4"), n[at].astype("u1"), offset[at].astype("u1"), bucket[at])))
+        of = (bucket[keep] % np.uint64(n_buckets)).astype(np.int64)
+        rows += [(k, ANCHORS, 0, d) for k, _, d in _packs(of, docs, doc[keep], start[keep].astype("<u4"), n[keep].astype("u1"), offset[keep].astype("u1"), bucket[keep])]
         yield _emit(*zip(*rows, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +294,8 @@ def _scan(n_buckets: int):
 
 def _requests(docs: Docs, at: np.ndarray, doc, start, count, offset, bucket, kind: int) -> list[tuple]:
     """Segments whose bytes are asked for, by document group."""
-    out = []
-    for g, part in _by(docs.group[doc[at]]):
-        i = at[part]
-        out.append((g, kind, g, _pack(docs, doc[i], start[i].astype("<u4"), count[i].astype("u1"), offset[i].astype("u1"), bucket[i])))
-    return out
+    d = doc[at]
+    return [(g, kind, g, data) for g, _, data in _packs(docs.group[d], docs, d, start[at].astype("<u4"), count[at].astype("u1"), offset[at].astype("u1"), bucket[at])]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]], list[tuple]]]:
@@ -345,6 +356,11 @@ def _locate(docs: Docs, wanted: Docs) -> np.ndarray:
     return np.array([key[x] for x in zip(wanted.k.tolist(), wanted.t.tolist(), strict=True)], np.int64)
 
 
+def _with_bytes(head: bytes, text: np.ndarray) -> bytes:
+    """Packed rows and their bytes as one value."""
+    return len(head).to_bytes(8, "little") + head + _zip.compress(text.tobytes())
+
+
 def _fetch(n_buckets: int):
     """Cut the bytes that are asked for out of a group of documents: segments, and single suffixes of large buckets."""
 
@@ -363,9 +379,10 @@ def _fetch(n_buckets: int):
                 start, count = start.astype(np.int64), count.astype(np.int64)
                 at = off[row] + start
                 if kind == REQUEST:
-                    for k, i in _by((bucket % np.uint64(n_buckets)).astype(np.int64)):
+                    of = (bucket % np.uint64(n_buckets)).astype(np.int64)
+                    for k, i, head in _packs(of, docs, row, start.astype("<u4"), count.astype("u1"), offset.astype("u1"), bucket):
                         text = data[_ranges(at[i], count[i] + LENGTH - 1)]
-                        rows.append((k, SEGMENTS, 0, _pack(docs, row[i], start[i].astype("<u4"), count[i].astype("u1"), offset[i].astype("u1"), bucket[i]), text.tobytes()))
+                        rows.append((k, SEGMENTS, 0, _with_bytes(head, text)))
                     continue
                 for lo in range(0, len(at), 1 << 12):
                     i = slice(lo, lo + (1 << 12))
@@ -378,15 +395,14 @@ def _fetch(n_buckets: int):
                     two = mix(h64[pos] * np.uint64(3) ^ mix(h64[pos + LENGTH - 64] + np.uint64(7)))
                     d, s = np.repeat(row[i], count[i]), np.repeat(start[i], count[i]) + _ranges(np.zeros(len(size), np.int64), count[i])
                     stay, _, later = _settle(docs, d, s, data, off[d] + s, full, one, two)
-                    rows += [(g, COVERED, g, x, b"") for g, x in _spans(docs, d[later], s[later], full[later])]
-                    for k, j in _by((one[stay] % np.uint64(n_buckets)).astype(np.int64)):
-                        j = np.sort(stay[j])
-                        text = data[_ranges(off[d[j]] + s[j], full[j])]
-                        rows.append((k, SEGMENTS, 0, _pack(docs, d[j], s[j].astype("<u4"), np.ones(len(j), "u1"), np.zeros(len(j), "u1"), one[j]), text.tobytes()))
+                    rows += [(g, COVERED, g, x) for g, x in _spans(docs, d[later], s[later], full[later])]
+                    d, s, of = d[stay], s[stay], (one[stay] % np.uint64(n_buckets)).astype(np.int64)
+                    for k, j, head in _packs(of, docs, d, s.astype("<u4"), np.ones(len(d), "u1"), np.zeros(len(d), "u1"), one[stay]):
+                        text = data[_ranges(off[d[j]] + s[j], np.full(len(j), LENGTH))]
+                        rows.append((k, SEGMENTS, 0, _with_bytes(head, text)))
         release_memory()
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        data = [x if not y else len(x).to_bytes(8, "little") + x + zstandard.ZstdCompressor(level=1).compress(y) for x, y in zip(columns[3], columns[4], strict=True)]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(data, pa.binary())], names=["bucket", "kind", "group", "data"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["bucket", "kind", "group", "data"])
 
     return run
 
@@ -488,7 +504,7 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
     for v in values:
         n = int.from_bytes(v[:8], "little")
         heads.append(v[8 : 8 + n])
-        texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(v[8 + n :]), np.uint8))
+        texts.append(np.frombuffer(_unzip.decompress(v[8 + n :]), np.uint8))
     docs, doc, (start, count, offset, bucket) = _unpack(heads)
     text = np.concatenate(texts)
     start, count, offset = start.astype(np.int64), count.astype(np.int64), offset.astype(np.int64)
@@ -497,7 +513,9 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
     order = np.argsort(bucket, kind="stable")
     sums = np.cumsum(size[order])
     last = np.append(np.flatnonzero(np.diff(bucket[order])), len(order) - 1)  # last of each anchor
-    rows, lo = [], 0
+    # Document, start and size of what repeats, over all parts: a row for each part and document group would be more rows the more groups there are.
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    lo = 0
     while lo < len(order):
         done = sums[lo - 1] if lo else 0
         k = int(np.searchsorted(sums[last], done + _CHUNK, "right"))
@@ -509,7 +527,7 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
         # Equal segments first, so that the sort sees different ones only.
         content = _string_hashes(_hashes(part)[1], place, n) ^ mix(offset[i].astype(np.uint64))
         stay, _, later = _settle(docs, doc[i], start[i], part, place, n, bucket[i], content)
-        rows += [(g, COVERED, g, x) for g, x in _spans(docs, doc[i][later], start[i][later], n[later])]
+        found.append((doc[i[later]], start[i[later]], n[later]))
         stay = np.sort(stay)
         _, group, members = np.unique(bucket[i][stay], return_inverse=True, return_counts=True)
         stay = stay[members[group] > 1]
@@ -523,9 +541,8 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
         new = np.concatenate(([True], (np.diff(seg) != 0) | (np.diff(suffix) != 1)))
         f = np.flatnonzero(new)
         n = np.diff(np.append(f, len(seg)))
-        d = doc[i][seg[f]]
-        rows += [(g, COVERED, g, x) for g, x in _spans(docs, d, start[i][seg[f]] + suffix[f], n + LENGTH - 1)]
-    return rows
+        found.append((doc[i[seg[f]]], start[i[seg[f]]] + suffix[f], n + LENGTH - 1))
+    return [(g, COVERED, g, x) for g, x in _spans(docs, *[np.concatenate(x) for x in zip(*found, strict=True)])] if found else []
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,27 @@ def test_suffixes_of_hot_anchors(spark, monkeypatch, hot):
     assert spans_of(df) == R.suffixes(rows)
 
 
+def test_sorted_parts_share_rows(monkeypatch):
+    """Whatever the number of parts that a bucket is sorted in, spans leave it as one row for each document group."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 120, dtype=np.uint8) for _ in range(20)]
+    docs = S.Docs(np.arange(8), np.arange(8) * 7, np.arange(8) % 2)
+    doc, at = np.repeat(np.arange(8), 20), np.tile(np.arange(20), 8)
+    one = np.ones(len(doc), np.int64)
+    values = [S._with_bytes(head, np.concatenate([texts[k] for k in at[i]])) for _, i, head in S._packs(doc % 3, docs, doc, (at * 200).astype("<u4"), (21 * one).astype("u1"), (0 * one).astype("u1"), at.astype("<u8"))]
+    rows = {}
+    for part in (1 << 19, 300):
+        monkeypatch.setattr(S, "_CHUNK", part)
+        found = S._sort_bucket(values)
+        assert sorted(r[0] for r in found) == [0, 1]
+        rows[part] = []
+        for *_, data in found:
+            d, who, (start, size) = S._unpack([data])
+            rows[part] += zip(d.k[who].tolist(), d.t[who].tolist(), start.tolist(), size.tolist(), strict=True)
+    # All but the first document's.
+    assert sorted(rows[300]) == sorted(rows[1 << 19]) == [(k, 7 * k, 200 * i, 120) for k in range(1, 8) for i in range(20)]
+
+
 def test_settle_compares_bytes():
     """Segments whose hashes agree are told apart by their bytes."""
     texts = [b"a" * 120, b"a" * 120, b"b" * 120]
