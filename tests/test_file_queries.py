@@ -17,7 +17,7 @@ def odd(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["pdf_page_sizes", "pdf_page_texts"])
+@pytest.mark.parametrize("name", ["pdf_page_sizes", "pdf_page_texts", "pdf_redacted_emails", "pdf_request"])
 def test_odd_texts(spark, odd, name):
     """Texts without lines have no page; white space that the SQL does not take for blanks stays."""
     con = duckdb.connect()
