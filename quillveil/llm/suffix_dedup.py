@@ -98,15 +98,17 @@ class Docs:
 
     def __init__(self, k: np.ndarray, t: np.ndarray, group: np.ndarray):
         self.k, self.t, self.group = k, t, group
+        self._ranks: np.ndarray | None = None
 
     def ranks(self) -> np.ndarray:
         """Order by id and tie-break; equal documents share a rank."""
-        order = np.lexsort((self.t, self.k))
-        k, t = self.k[order], self.t[order]
-        new = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (t[1:] != t[:-1]))))
-        out = np.empty(len(order), np.int64)
-        out[order] = new[: len(order)]
-        return out
+        if self._ranks is None:
+            order = np.lexsort((self.t, self.k))
+            k, t = self.k[order], self.t[order]
+            new = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (t[1:] != t[:-1]))))
+            self._ranks = np.empty(len(order), np.int64)
+            self._ranks[order] = new[: len(order)]
+        return self._ranks
 
     @staticmethod
     def concat(parts: list[Docs]) -> Docs:
@@ -421,14 +423,36 @@ def difference_cover(period: int) -> list[int]:
     return sorted(cover)
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of one key."""
+    order = np.argsort(key)
+    values = key[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], values[1:] != values[:-1]))[: len(order)])
+    return out
+
+
 def _rank(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows by several keys, the first most significant."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
+    """Dense ranks of rows by several keys, the first most significant. Keys of few bits are sorted as one number, together with the row's."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    rank, bits, place = None, 0, max(1, (n - 1).bit_length())
     for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+        low, size = (int(k.min()), (int(k.max()) - int(k.min())).bit_length()) if k.dtype.kind == "i" else (0, 64)
+        if size > place + 1:
+            k, low, size = _dense(k), 0, place
+        k = (k - low).astype(np.uint64)
+        if rank is not None and bits + size > 64:
+            rank, bits = _dense(rank).astype(np.uint64), place
+        rank, bits = k if rank is None else rank << np.uint64(size) | k, bits + size
+    if bits + place > 64:
+        return _dense(rank)
+    rank = np.sort(rank << np.uint64(place) | np.arange(n, dtype=np.uint64))
+    order = (rank & np.uint64((1 << place) - 1)).astype(np.int64)
+    rank >>= np.uint64(place)
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], rank[1:] != rank[:-1])))
     return out
 
 
@@ -485,19 +509,29 @@ def _sort_segments(docs: Docs, doc, start, count, offset, bucket, text) -> tuple
     tail = LENGTH - 24
     who = docs.ranks()[doc][segment[many]]
     place = start[segment[many]] + (a - base[segment[many]])
-    keys = (tie[many], cover, words[a + tail], words[a + tail + 8], words[a + tail + 16])
-    order = np.lexsort((place, who, *keys[::-1]))
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    w, p = who[order], place[order]
-    later = order[(w != w[head]) | (p != p[head])]
-    hit = np.sort(many[later])
+    same = _rank(tie[many], cover, words[a + tail], words[a + tail + 8], words[a + tail + 16])
+    # Of equal strings the first in order of document and start stays.
+    who = who << 32 | place
+    least = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, who)
+    later = who != least[same]
+    hit = many[later]
     return segment[hit], at[hit] - base[segment[hit]]
 
 
+def _may_repeat(h64: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which strings of LENGTH bytes at these places may have an equal one among them: all that have one, and those whose hash agrees with another's."""
+    n, place = len(pos), np.uint64(max(1, (len(pos) - 1).bit_length()))
+    key = mix(h64[pos] * np.uint64(3) ^ mix(h64[pos + LENGTH - 64] + np.uint64(7)))
+    # A hash and its row in one number, so that numbers alone are sorted.
+    key = np.sort(key >> place << place | np.arange(n, dtype=np.uint64))
+    same = key[1:] >> place == key[:-1] >> place
+    row = (key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    out = np.zeros(n, bool)
+    out[row[1:][same]] = out[row[:-1][same]] = True
+    return out
+
+
 def _sort_bucket(values: list[bytes]) -> list[tuple]:
     """Sort the segments of a bucket of the hash space, some anchors at a time."""
     heads, texts = [], []
@@ -525,7 +559,8 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
         part, n = text[_ranges(begin[i], size[i])], size[i]
         place = np.cumsum(n) - n
         # Equal segments first, so that the sort sees different ones only.
-        content = _string_hashes(_hashes(part)[1], place, n) ^ mix(offset[i].astype(np.uint64))
+        h64 = _hashes(part)[1]
+        content = _string_hashes(h64, place, n) ^ mix(offset[i].astype(np.uint64))
         stay, _, later = _settle(docs, doc[i], start[i], part, place, n, bucket[i], content)
         found.append((doc[i[later]], start[i[later]], n[later]))
         stay = np.sort(stay)
@@ -533,15 +568,26 @@ def _sort_bucket(values: list[bytes]) -> list[tuple]:
         stay = stay[members[group] > 1]
         if not len(stay):
             continue
-        part, i = part[_ranges(place[stay], n[stay])], i[stay]
-        seg, suffix = _sort_segments(docs, doc[i], start[i], count[i], offset[i], bucket[i], part)
+        # Of a segment what lies between its first and last suffix that may repeat is sorted.
+        many = count[i[stay]]
+        at = np.flatnonzero(_may_repeat(h64, _ranges(place[stay], many)))
+        if not len(at):
+            continue
+        ends = np.cumsum(many)
+        of = np.searchsorted(ends, at, "right")
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        final = np.append(first[1:], len(at)) - 1
+        stay, skip, many = stay[of[first]], at[first] - (ends - many)[of[first]], at[final] - at[first] + 1
+        part, i = part[_ranges(place[stay] + skip, many + LENGTH - 1)], i[stay]
+        head = start[i] + skip
+        seg, suffix = _sort_segments(docs, doc[i], head, many, offset[i] - skip, bucket[i], part)
         if not len(seg):
             continue
         # Neighbouring suffixes of a segment make one span.
         new = np.concatenate(([True], (np.diff(seg) != 0) | (np.diff(suffix) != 1)))
         f = np.flatnonzero(new)
         n = np.diff(np.append(f, len(seg)))
-        found.append((doc[i[seg[f]]], start[i[seg[f]]] + suffix[f], n + LENGTH - 1))
+        found.append((doc[i[seg[f]]], head[seg[f]] + suffix[f], n + LENGTH - 1))
     return [(g, COVERED, g, x) for g, x in _spans(docs, *[np.concatenate(x) for x in zip(*found, strict=True)])] if found else []
 
 

@@ -74,6 +74,34 @@ def test_sorted_parts_share_rows(monkeypatch):
     assert sorted(rows[300]) == sorted(rows[1 << 19]) == [(k, 7 * k, 200 * i, 120) for k in range(1, 8) for i in range(20)]
 
 
+def test_sort_sees_what_may_repeat(monkeypatch):
+    """Of segments with one anchor only suffixes that may have an equal one are sorted; ranks by packed keys are those of the keys."""
+    rng = np.random.default_rng(5)
+    seen, sort = [], S._sort_segments
+    monkeypatch.setattr(S, "_sort_segments", lambda *a: seen.append(a[3].tolist()) or sort(*a))
+
+    def spans(texts):
+        n = len(texts)
+        docs = S.Docs(np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
+        full = lambda v, t: np.full(n, v, t)
+        rows = list(S._packs(full(0, np.int64), docs, np.arange(n), full(3, "<u4"), full(40, "u1"), full(50, "u1"), full(7, np.uint64)))
+        out = S._sort_bucket([S._with_bytes(head, np.concatenate(texts)) for _, _, head in rows])
+        if not out:
+            return []
+        docs, doc, (start, size) = S._unpack([x[3] for x in out])
+        return sorted(zip(docs.k[doc].tolist(), start.tolist(), size.tolist(), strict=True))
+
+    a, b, c = (rng.integers(0, 256, 139).astype(np.uint8) for _ in range(3))
+    assert spans([a, b, c]) == [] and seen == []
+    b[20:130] = a[20:130]
+    assert spans([a, b, c]) == [(1, 23, 110)] and seen == [[11, 11]]
+    keys = (rng.integers(-1, 3, 900), rng.integers(0, 1 << 63, 40).astype(np.uint64)[rng.integers(0, 40, 900)] * np.uint64(2), rng.integers(0, 1 << 50, 3)[rng.integers(0, 3, 900)], rng.integers(0, 900, 900) % 7)
+    for some in (keys, keys[:1], keys[1:3], keys[::-1]):
+        rows = list(zip(*[k.tolist() for k in some], strict=True))
+        number = {r: i for i, r in enumerate(sorted(set(rows)))}
+        assert S._rank(*some).tolist() == [number[r] for r in rows]
+
+
 def test_settle_compares_bytes():
     """Segments whose hashes agree are told apart by their bytes."""
     texts = [b"a" * 120, b"a" * 120, b"b" * 120]
